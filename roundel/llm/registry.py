@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from . import ngram_join, quality_rules
+from . import decontamination, language_id, ngram_join, piece_codec, quality_rules, secret_scan, token_store
 
 QUERIES = {
     "op1_line_frequency": quality_rules.op1_line_frequency,
+    "op4_token_store": token_store.op4_token_store,
+    "op5_secret_scan": secret_scan.op5_secret_scan,
     "op6_ngram_join": ngram_join.op6_ngram_join,
+    "op8_decontamination": decontamination.op8_decontamination,
+    "op9_language_id": language_id.op9_language_id,
+    "op10_piece_codec": piece_codec.op10_piece_codec,
 }
 
 SQL = {
     "op1_line_frequency": quality_rules.SQL,
+    "op5_secret_scan": secret_scan.SQL,
     "op6_ngram_join": ngram_join.SQL,
 }

@@ -6,8 +6,6 @@ same on every machine; equal hashes are taken as equal words or windows.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 SPACE = np.zeros(256, bool)
@@ -30,16 +28,16 @@ FOLDED = LOWER.copy()
 FOLDED[48:58] = EXACT[48]
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-    full = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, b))])
-    return full(BASE), full(inverse)
+_known: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to at least n, modulo 2**64."""
-    return _powers(1 << max(20, int(n).bit_length()))
+    """BASE**i and BASE**-i for i up to at least n, modulo 2**64; the largest tables so far are kept."""
+    if not _known or len(_known[0]) <= n:
+        size = 1 << max(20, int(n).bit_length())
+        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+        _known[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b))]) for b in (BASE, inverse)]
+    return _known[0], _known[1]
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
