@@ -20,7 +20,7 @@ from .common import read, slices, text_buffer
 
 WINDOW, HIDDEN, PAD = 64, 8, 256
 TRAIN_DOCS, TRAIN_WINDOWS = 2000, 8
-STEPS, BATCH, RATE = 1000, 128, 0.02
+STEPS, BATCH, RATE = 600, 128, 0.02
 CHUNK = 2048  # windows that are read at once
 UNKNOWN = "und"
 HOLD, OUT = 4, 2  # documents whose crc32(id) mod HOLD is OUT are not learned from
