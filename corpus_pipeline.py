@@ -7,7 +7,8 @@
 5. pieces: the ids of each document, with the text they decode to.
 
 A document with a null text goes in the first stage. Documents without words have no shingles and are
-duplicates of nothing.
+duplicates of nothing. Rows that share a doc_id are one document: they stay or go together. A row
+without a doc_id is never named as a duplicate or a leak and stays.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.ngram_components(docs)
-    keep = stored(groups.where("component_id = doc_id").select("doc_id").distinct(), "kept")
-    return docs.join(keep, "doc_id", "left_semi")
+    others = stored(groups.where("component_id <> doc_id").select("doc_id").distinct(), "duplicates")
+    return docs.join(others, "doc_id", "left_anti")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
