@@ -190,7 +190,11 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """A model from at most `limit` labelled documents that aren't held out."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
-    sample = rows.select(F.xxhash64("doc_id").alias("h"), "lang", "text").orderBy("h", "lang", "text").limit(limit).collect()
+    rows = rows.select(F.xxhash64("doc_id").alias("h"), "lang", "text")
+    lowest = [r.h for r in rows.select("h").orderBy("h").limit(limit).collect()]
+    if not lowest:
+        return train([], [])
+    sample = rows.where(F.col("h") <= lowest[-1]).orderBy("h", "lang", "text").limit(limit).collect()  # only those rows' texts travel
     return train([r.text for r in sample], [r.lang for r in sample])
 
 
