@@ -13,18 +13,22 @@ recipe, the list of addresses. Format of a store:
 bytes an id, as the vocabulary needs. `shared` marks chunks that other documents name; only those are
 looked up by address when the store is read, so unique text never moves.
 
-Texts are encoded twice, once for the addresses and once to write: only addresses are shuffled to find
-the first owner, and texts are dealt out once, by ranges of doc_id.
+Texts are encoded where they are. Only addresses are shuffled to find the first owner of each chunk;
+ids are dealt out once, by ranges of doc_id.
 """
 
 from __future__ import annotations
 
+import json
+import sys
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from hashlib import blake2b, sha256
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,33 +39,74 @@ from .words import BASE, mixed, powers
 END_ID = 1
 WINDOW, MIN_CHUNK, MASK, MAX_CHUNK = 16, 64, 255, 1024
 FANOUT = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
+#: Fixed value: how the tokenizer cuts a text, and the same for Python.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT = regex.compile(PATTERN)
+#: The tokenizer shows bytes as characters: printable Latin-1 as it is, the others from U+0100 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 PACKS = "doc_id long, part int, row long, before long, n_tokens long, leaf binary, keys array<binary>, new array<struct<key:binary,ids:binary,shared:boolean>>"
 
 
 class WordEncoder(dict):
-    """Ids of texts, word by word.
+    """Ids of texts, word by word, in `width` bytes an id.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in
-    order; each distinct word is encoded once by the library. Words are split at ASCII white space only.
+    order, and each distinct word is encoded once. A word of plain Latin characters is cut up as the
+    tokenizer's pattern does, and the library's model encodes each distinct part; the library encodes
+    any other word as a whole. Words are split at ASCII white space only.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
+        self.end = END_ID.to_bytes(self.width, "little")
+        self.parts: dict[str, bytes] = {}
+        self.plain = self._as_expected()
+
+    def _as_expected(self) -> bool:
+        """Whether words may be cut up here: lower-cased, with the known pattern, and bytes as characters."""
+        set_up = json.loads(self.tokenizer.to_str())
+        steps = (set_up["normalizer"] or {}).get("normalizers", [])
+        pre = (set_up["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] and pre[0]["pattern"] == {"Regex": PATTERN} and pre[0]["behavior"] == "Removed"
+
+    def _packed(self, ids: list[int]) -> bytes:
+        found = array("H" if self.width == 2 else "I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def _part(self, part: str) -> bytes:
+        shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
+        found = self.parts[part] = self._packed([t.id for t in self.model.tokenize(shown)])
+        return found
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = self[word] = np.array(ids, "<u4").tobytes()
+        text = word.decode("utf-8", "replace")
+        if self.plain and text.isprintable() and (text.isascii() or max(text) < "\u0180" and "\u0130" not in text):
+            low = text.lower()
+            known = self.parts
+            if low.isalpha():  # one run of letters
+                found = known.get(low) or self._part(low)
+            else:
+                found = b"".join([known.get(part) or self._part(part) for part in CUT.findall(low)])
+        else:
+            found = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        self[word] = found
         return found
 
-    def __call__(self, text: str | None) -> np.ndarray:
+    def __call__(self, text: str | None) -> bytes:
+        """The ids of a text and the end id."""
         words = (text or "").encode("utf-8", "replace").split()
-        if len(self) > CACHE_WORDS:
+        if len(self) + len(self.parts) > CACHE_WORDS:
             self.clear()
-        return np.frombuffer(b"".join([*map(self.__getitem__, words), END_ID.to_bytes(4, "little")]), "<u4")
+            self.parts.clear()
+        return b"".join([*map(self.__getitem__, words), self.end])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -73,67 +118,78 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of one stream end."""
-    n = len(ids)
-    if n <= MIN_CHUNK:
-        return [n]
+def cut_places(ids: np.ndarray) -> np.ndarray:
+    """Behind which ids the rolling hash of the WINDOW ids before asks for a cut."""
+    n = len(ids) - WINDOW + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
     value = mixed((ids.astype(np.uint64) + np.uint64(1)) * BASE)
     up, _ = powers(WINDOW)
-    total = np.zeros(n - WINDOW + 1, np.uint64)
+    total = np.zeros(n, np.uint64)
     for j in range(WINDOW):
-        total += value[j : j + len(total)] * up[j]
-    cuts = np.flatnonzero((mixed(total) & np.uint64(MASK)) == 0) + WINDOW
-    ends, begin = [], 0
-    for c in [*cuts.tolist(), n]:
+        total += value[j : j + n] * up[j]
+    return np.flatnonzero((mixed(total) & np.uint64(MASK)) == 0) + WINDOW
+
+
+def chunk_ends(places: list[int], begin: int, end: int) -> list[int]:
+    """Ends of the chunks of the stream from begin to end; chunks have MIN_CHUNK to MAX_CHUNK ids, the last may be shorter.
+
+    MIN_CHUNK exceeds WINDOW, so no cut depends on ids before the stream.
+    """
+    ends = []
+    for c in [*places, end]:
         while c - begin > MAX_CHUNK:
             begin += MAX_CHUNK
             ends.append(begin)
-        if c - begin >= MIN_CHUNK and c < n:
+        if c == end and begin < end or c - begin >= MIN_CHUNK:
             begin = c
             ends.append(c)
-    if begin < n:
-        ends.append(n)
     return ends
 
 
-def chunks(ids: np.ndarray) -> list[tuple[bytes, np.ndarray]]:
-    ends = chunk_ends(ids)
-    return [(blake2b(part.tobytes(), digest_size=16).digest(), part) for part in (ids[a:b] for a, b in zip([0, *ends], ends, strict=False))]
-
+def _encode(path: str) -> Callable:
+    """Ids of every text, and the address and end of each of its chunks."""
 
-def _addresses(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         for batch in slices(batches, "text"):
-            keys = [[k for k, _ in chunks(encode(t))] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.list_(pa.binary()))], names=["doc_id", "keys"])
+            streams = [encode(t) for t in batch.column("text").to_pylist()]
+            ids = np.frombuffer(b"".join(streams), f"<u{encode.width}")
+            bounds = np.concatenate([[0], np.cumsum([len(s) // encode.width for s in streams])])
+            places, wide = cut_places(ids), ids.astype("<u4")
+            at = np.searchsorted(places, bounds)
+            keys, ends = [], []
+            for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                stops = chunk_ends(places[at[i] : at[i + 1]].tolist(), a, b)
+                keys.append([blake2b(wide[x:y].tobytes(), digest_size=16).digest() for x, y in zip([a, *stops], stops, strict=False)])
+                ends.append([x - a for x in stops])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(streams, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "ids", "keys", "ends"])
 
     return run
 
 
-def _pack(path: str) -> Callable:
-    """Rows of packs from texts in order; a document's own chunks stand in a row just before it."""
+def _pack(width: int) -> Callable:
+    """Rows of packs from streams in order; the chunks that a document owns stand in a row just before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, row, before = encoder(path), TaskContext.get().partitionId(), 0, 0
-        kind = pa.list_(pa.struct([("key", pa.binary()), ("ids", pa.binary()), ("shared", pa.bool_())]))
+        part, row, before = TaskContext.get().partitionId(), 0, 0
         of, own = object(), {}
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "ids"):
             out = []
-            for doc, text, owned in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "own")), strict=True):
+            for doc, ids, keys, ends, owned in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "keys", "ends", "own")), strict=True):
                 if owned is not None:
                     of, own = doc, {x["key"]: x["shared"] for x in owned}
                     continue
-                ids = encode(text)
-                keys, new = [], []
-                for key, piece in chunks(ids):
-                    keys.append(key)
+                new = []
+                for key, x, y in zip(keys, [0, *ends], ends, strict=False):
                     if doc == of and key in own:
-                        new.append({"key": key, "ids": piece.astype(f"<u{encode.width}").tobytes(), "shared": own.pop(key)})
-                out.append((doc, part, row, before, len(ids), sha256(ids.tobytes()).digest(), keys, new))
-                row, before = row + 1, before + len(ids)
+                        new.append({"key": key, "ids": ids[x * width : y * width], "shared": own.pop(key)})
+                n = len(ids) // width
+                leaf = sha256(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()).digest()
+                out.append((doc, part, row, before, n, leaf, keys, new))
+                row, before = row + 1, before + n
             if out:
+                kind = pa.list_(pa.struct([("key", pa.binary()), ("ids", pa.binary()), ("shared", pa.bool_())]))
                 types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), kind)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "part", "row", "before", "n_tokens", "leaf", "keys", "new"])
 
@@ -175,12 +231,12 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     own that name the same chunks. Null ids come first. An empty table gives an empty store.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    named = docs.mapInArrow(_addresses(tokenizer), "doc_id long, keys array<binary>").select("doc_id", F.explode("keys").alias("key"))
-    first = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), ((F.min("doc_id") != F.max("doc_id")) | (F.count("*") != F.count("doc_id"))).alias("shared"))
+    streams = stored(docs.mapInArrow(_encode(tokenizer), "doc_id long, ids binary, keys array<binary>, ends array<long>"), "streams", compression="zstd")
+    first = streams.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), ((F.min("doc_id") != F.max("doc_id")) | (F.count("*") != F.count("doc_id"))).alias("shared"))
     owned = stored(first.groupBy("doc_id").agg(F.collect_list(F.struct("key", "shared")).alias("own")), "owned")
-    both = docs.select("doc_id", "text", F.lit(None).cast("array<struct<key:binary,shared:boolean>>").alias("own")).unionByName(owned.select("doc_id", F.lit(None).cast("string").alias("text"), "own"))
+    both = streams.withColumn("own", F.lit(None).cast("array<struct<key:binary,shared:boolean>>")).unionByName(owned, allowMissingColumns=True)
     ordered = both.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("own").isNull())
-    ordered.mapInArrow(_pack(tokenizer), PACKS).write.parquet(f"{path}/packs")
+    ordered.mapInArrow(_pack(encoder(tokenizer).width), PACKS).write.option("compression", "zstd").parquet(f"{path}/packs")
     spark = docs.sparkSession
     packs = spark.read.parquet(f"{path}/packs")
     sums = packs.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("ids"))
