@@ -5,13 +5,14 @@ so equal passages give equal chunks wherever they stand. A chunk's address is a
 chunk is stored once, inside the row of the first document that has it; every document's row is its
 recipe, the list of addresses. Format of a store:
 
-    packs/     doc_id, part, row, n_tokens, leaf, keys, new [(key, ids, shared)], ascending by doc_id
+    packs/     doc_id, part, row, n_tokens, leaf, keys, new [(key, ids)], shared [(key, ids)], missing, ascending by doc_id
     parts/     part, rows and ids before it
     manifest/  node, hash: each over FANOUT leaves in document order, and so on up to the root
 
 `leaf` is the SHA-256 of a document's ids as little-endian unsigned 32-bit integers. `ids` holds 2 or 4
-bytes an id, as the vocabulary needs. `shared` marks chunks that other documents name; only those are
-looked up by address when the store is read, so unique text never moves.
+bytes an id, as the vocabulary needs. `shared` has the chunks that other documents name too, `missing` the
+addresses that an earlier document has; only those are looked up when the store is read, so unique text
+never moves.
 
 Texts are encoded where they are. Only addresses are shuffled to find the first owner of each chunk;
 ids are dealt out once, by ranges of doc_id.
@@ -39,23 +40,23 @@ from .words import BASE, mixed, powers
 END_ID = 1
 WINDOW, MIN_CHUNK, MASK, MAX_CHUNK = 16, 64, 255, 1024
 FANOUT = 1024
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: Fixed value: how the tokenizer cuts a text, and the same for Python.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CUT = regex.compile(PATTERN)
 #: The tokenizer shows bytes as characters: printable Latin-1 as it is, the others from U+0100 on.
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-PACKS = "doc_id long, part int, row long, before long, n_tokens long, leaf binary, keys array<binary>, new array<struct<key:binary,ids:binary,shared:boolean>>"
+PACKS = "doc_id long, part int, row long, before long, n_tokens long, leaf binary, keys array<binary>, new array<struct<key:binary,ids:binary>>, shared array<struct<key:binary,ids:binary>>, missing array<binary>"
 
 
 class WordEncoder(dict):
     """Ids of texts, word by word, in `width` bytes an id.
 
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in
-    order, and each distinct word is encoded once. A word of plain Latin characters is cut up as the
-    tokenizer's pattern does, and the library's model encodes each distinct part; the library encodes
-    any other word as a whole. Words are split at ASCII white space only.
+    order, and each distinct word is encoded once. Words of a text within Latin-1 are lower-cased and cut
+    up as the tokenizer's pattern does, and the library's model encodes each distinct part; the library
+    encodes any other word as a whole. Words are split at ASCII white space only.
     """
 
     def __init__(self, path: str):
@@ -65,7 +66,7 @@ class WordEncoder(dict):
         self.model = self.tokenizer.model
         self.width = 2 if self.tokenizer.get_vocab_size() <= 65536 else 4
         self.end = END_ID.to_bytes(self.width, "little")
-        self.parts: dict[str, bytes] = {}
+        self.others: dict[bytes, bytes] = {}
         self.plain = self._as_expected()
 
     def _as_expected(self) -> bool:
@@ -83,30 +84,46 @@ class WordEncoder(dict):
 
     def _part(self, part: str) -> bytes:
         shown = part if part.isascii() else part.encode().decode("latin-1").translate(SHOWN)
-        found = self.parts[part] = self._packed([t.id for t in self.model.tokenize(shown)])
-        return found
+        return self._packed([t.id for t in self.model.tokenize(shown)])
 
     def __missing__(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if self.plain and text.isprintable() and (text.isascii() or max(text) < "\u0180" and "\u0130" not in text):
-            low = text.lower()
-            known = self.parts
-            if low.isalpha():  # one run of letters
-                found = known.get(low) or self._part(low)
-            else:
-                found = b"".join([known.get(part) or self._part(part) for part in CUT.findall(low)])
+        """A lower-cased word, or a part of one, in Latin-1."""
+        low = word.decode("latin-1")
+        if low.isalpha():  # one run of letters
+            found = self._part(low)
+        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
+            found = self[word[:-1]] + self[word[-1:]]
+        elif low.isprintable():
+            parts = CUT.findall(low)
+            found = self._part(low) if parts == [low] else b"".join([self[p.encode("latin-1")] for p in parts])
         else:
-            found = self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+            found = self.whole(low)
         self[word] = found
         return found
 
+    def whole(self, text: str) -> bytes:
+        return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+
+    def other(self, word: bytes) -> bytes:
+        """A word of a text with characters beyond Latin-1."""
+        found = self.others.get(word)
+        if found is None:
+            found = self.others[word] = self.whole(word.decode("utf-8", "replace"))
+        return found
+
     def __call__(self, text: str | None) -> bytes:
         """The ids of a text and the end id."""
-        words = (text or "").encode("utf-8", "replace").split()
-        if len(self) + len(self.parts) > CACHE_WORDS:
+        text = text or ""
+        if len(self) + len(self.others) > CACHE_WORDS:
             self.clear()
-            self.parts.clear()
-        return b"".join([*map(self.__getitem__, words), self.end])
+            self.others.clear()
+        try:
+            if not self.plain:
+                raise UnicodeError
+            words, of = text.lower().encode("latin-1").split(), self.__getitem__
+        except UnicodeError:
+            words, of = text.encode("utf-8", "replace").split(), self.other
+        return b"".join([*map(of, words), self.end])
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -180,18 +197,20 @@ def _pack(width: int) -> Callable:
                 if owned is not None:
                     of, own = doc, {x["key"]: x["shared"] for x in owned}
                     continue
-                new = []
+                new, shared, have = [], [], set()
                 for key, x, y in zip(keys, [0, *ends], ends, strict=False):
                     if doc == of and key in own:
-                        new.append({"key": key, "ids": ids[x * width : y * width], "shared": own.pop(key)})
+                        (shared if own.pop(key) else new).append({"key": key, "ids": ids[x * width : y * width]})
+                        have.add(key)
+                missing = [k for k in dict.fromkeys(keys) if k not in have]
                 n = len(ids) // width
                 leaf = sha256(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()).digest()
-                out.append((doc, part, row, before, n, leaf, keys, new))
+                out.append((doc, part, row, before, n, leaf, keys, new, shared, missing))
                 row, before = row + 1, before + n
             if out:
-                kind = pa.list_(pa.struct([("key", pa.binary()), ("ids", pa.binary()), ("shared", pa.bool_())]))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), kind)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "part", "row", "before", "n_tokens", "leaf", "keys", "new"])
+                kind = pa.list_(pa.struct([("key", pa.binary()), ("ids", pa.binary())]))
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), kind, kind, pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "part", "row", "before", "n_tokens", "leaf", "keys", "new", "shared", "missing"])
 
     return run
 
@@ -200,8 +219,8 @@ def _rebuild(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for doc, part, row, keys, new, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "row", "keys", "new", "other")), strict=True):
-                have = {x["key"]: x["ids"] for x in (*new, *(other or ()))}
+            for doc, part, row, keys, new, shared, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "row", "keys", "new", "shared", "other")), strict=True):
+                have = {x["key"]: x["ids"] for x in (*new, *shared, *(other or ()))}
                 ids = np.frombuffer(b"".join([have[k] for k in keys]), f"<u{width}").astype("<u4").tobytes()
                 out.append((doc, part, row, len(ids) // 4, zlib.crc32(ids), sha256(ids).digest()))
             if out:
@@ -254,13 +273,12 @@ def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """Every document rebuilt from its recipe: doc_id, part, row, n_tokens, ids_crc32, leaf."""
     packs = spark.read.parquet(f"{path}/packs")
-    packs = packs.withColumn("missing", F.array_except("keys", F.transform("new", lambda x: x["key"])))
     none = F.lit(None).cast("array<struct<key:binary,ids:binary>>")
-    columns = ["doc_id", "part", "row", "keys", "new"]
+    columns = ["doc_id", "part", "row", "keys", "new", "shared"]
     alone = packs.where(F.size("missing") == 0).select(*columns, none.alias("other"))
     rest = packs.where(F.size("missing") > 0)
-    wanted = rest.select("part", "row", F.explode("missing").alias("key"))
-    known = packs.select(F.explode(F.filter("new", lambda x: x["shared"])).alias("x")).select("x.key", "x.ids")
+    wanted = packs.select("part", "row", F.explode("missing").alias("key"))
+    known = packs.select(F.explode("shared").alias("x")).select("x.key", "x.ids")
     other = wanted.join(known, "key").groupBy("part", "row").agg(F.collect_list(F.struct("key", "ids")).alias("other"))
     joined = rest.select(*columns).join(other, ["part", "row"]).select(*columns, "other")
     return alone.unionByName(joined).mapInArrow(_rebuild(width), "doc_id long, part int, row long, n_tokens long, ids_crc32 long, leaf binary")
