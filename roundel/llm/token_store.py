@@ -5,14 +5,14 @@ so equal passages give equal chunks wherever they stand. A chunk's address is a
 chunk is stored once, inside the row of the first document that has it; every document's row is its
 recipe, the list of addresses. Format of a store:
 
-    packs/     doc_id, part, row, n_tokens, leaf, keys, new [(key, ids)], shared [(key, ids)], missing, ascending by doc_id
+    packs/     doc_id, part, row, n_tokens, leaf, keys, ends, kept, shared [(key, ids)], missing, ascending by doc_id
     parts/     part, rows and ids before it
     manifest/  node, hash: each over FANOUT leaves in document order, and so on up to the root
 
 `leaf` is the SHA-256 of a document's ids as little-endian unsigned 32-bit integers. `ids` holds 2 or 4
-bytes an id, as the vocabulary needs. `shared` has the chunks that other documents name too, `missing` the
-addresses that an earlier document has; only those are looked up when the store is read, so unique text
-never moves.
+bytes an id, as the vocabulary needs. `kept` has the chunks that no other document names, one behind the
+other, `shared` those that others name too, `missing` the addresses that an earlier document has; only
+those are looked up when the store is read, so unique text never moves. `ends` says where chunks end.
 
 Texts are encoded where they are. Only addresses are shuffled to find the first owner of each chunk;
 ids are dealt out once, by ranges of doc_id.
@@ -40,7 +40,14 @@ from .words import BASE, mixed, powers
 END_ID = 1
 WINDOW, MIN_CHUNK, MASK, MAX_CHUNK = 16, 64, 255, 1024
 FANOUT = 1024
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
+#: Fixed value: how the tokenizer cuts a text, and the same for Python.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+CUT = regex.compile(PATTERN)
+#: The tokenizer shows bytes as characters: printable Latin-1 as it is, the others from U+0100 on.
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
+PACKS = "doc_id long, part int, row long, before long, n_tokens long, leaf binary, keys array<binary>, ends array<long>, kept binary, shared array<struct<key:binary,ids:binary>>, missing array<binary>"
 #: Fixed value: how the tokenizer cuts a text, and the same for Python.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CUT = regex.compile(PATTERN)
@@ -186,46 +193,71 @@ def _encode(path: str) -> Callable:
 
 
 def _pack(width: int) -> Callable:
-    """Rows of packs from streams in order; the chunks that a document owns stand in a row just before it."""
+    """Rows of packs from streams in order; the addresses that a document owns stand in a row just before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, row, before = TaskContext.get().partitionId(), 0, 0
-        of, own = object(), {}
+        of, alone, common = object(), set(), set()
         for batch in slices(batches, "ids"):
             out = []
-            for doc, ids, keys, ends, owned in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "keys", "ends", "own")), strict=True):
-                if owned is not None:
-                    of, own = doc, {x["key"]: x["shared"] for x in owned}
+            for doc, ids, keys, ends, own, own_shared in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "ids", "keys", "ends", "own", "own_shared")), strict=True):
+                if own is not None:
+                    of, alone, common = doc, set(own), set(own_shared)
                     continue
-                new, shared, have = [], [], set()
-                for key, x, y in zip(keys, [0, *ends], ends, strict=False):
-                    if doc == of and key in own:
-                        (shared if own.pop(key) else new).append({"key": key, "ids": ids[x * width : y * width]})
-                        have.add(key)
-                missing = [k for k in dict.fromkeys(keys) if k not in have]
+                kept, shared, missing = ids, [], []
+                if doc == of and len(alone) == len(keys):  # every chunk is this document's alone
+                    alone = set()
+                else:
+                    mine, seen = [], set()
+                    for key, x, y in zip(keys, [0, *ends], ends, strict=False):
+                        if doc == of and key in alone:
+                            alone.discard(key)
+                            mine.append(ids[x * width : y * width])
+                        elif doc == of and key in common:
+                            common.discard(key)
+                            shared.append({"key": key, "ids": ids[x * width : y * width]})
+                        elif key not in seen:
+                            missing.append(key)
+                        seen.add(key)
+                    kept = b"".join(mine)
                 n = len(ids) // width
-                leaf = sha256(np.frombuffer(ids, f"<u{width}").astype("<u4").tobytes()).digest()
-                out.append((doc, part, row, before, n, leaf, keys, new, shared, missing))
+                leaf = sha256(np.frombuffer(ids, f"<u{width}").astype("<u4")).digest()
+                out.append((doc, part, row, before, n, leaf, keys, ends, kept, shared, missing))
                 row, before = row + 1, before + n
             if out:
+                names = ("doc_id", "part", "row", "before", "n_tokens", "leaf", "keys", "ends", "kept", "shared", "missing")
                 kind = pa.list_(pa.struct([("key", pa.binary()), ("ids", pa.binary())]))
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), kind, kind, pa.list_(pa.binary()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "part", "row", "before", "n_tokens", "leaf", "keys", "new", "shared", "missing"])
+                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary(), kind, pa.list_(pa.binary()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*names])
 
     return run
 
 
+def rebuilt_stream(keys: list[bytes], ends: list[int], kept: bytes, shared: list[dict], other: list[dict] | None, width: int) -> bytes:
+    """A document's ids from its recipe."""
+    have = {x["key"]: x["ids"] for x in (*shared, *(other or ()))}
+    out, at = [], 0
+    for key, x, y in zip(keys, [0, *ends], ends, strict=False):
+        ids = have.get(key)
+        if ids is None:
+            ids = have[key] = kept[at : at + (y - x) * width]
+            at += len(ids)
+        out.append(ids)
+    return b"".join(out)
+
+
 def _rebuild(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc, part, row, keys, new, shared, other in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "part", "row", "keys", "new", "shared", "other")), strict=True):
-                have = {x["key"]: x["ids"] for x in (*new, *shared, *(other or ()))}
-                ids = np.frombuffer(b"".join([have[k] for k in keys]), f"<u{width}").astype("<u4").tobytes()
-                out.append((doc, part, row, len(ids) // 4, zlib.crc32(ids), sha256(ids).digest()))
-            if out:
-                types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=["doc_id", "part", "row", "n_tokens", "ids_crc32", "leaf"])
+            crcs, leaves, sizes = [], [], []
+            whole = "keys" not in batch.schema.names
+            for row in batch.column("kept").to_pylist() if whole else zip(*(batch.column(c).to_pylist() for c in ("keys", "ends", "kept", "shared", "other")), strict=True):
+                ids = np.frombuffer(row if whole else rebuilt_stream(*row, width), f"<u{width}").astype("<u4")
+                sizes.append(len(ids))
+                crcs.append(zlib.crc32(ids))
+                leaves.append(sha256(ids).digest())
+            if crcs:
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "row")), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(leaves, pa.binary())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32", "leaf"])
 
     return run
 
@@ -252,8 +284,9 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     streams = stored(docs.mapInArrow(_encode(tokenizer), "doc_id long, ids binary, keys array<binary>, ends array<long>"), "streams", compression="zstd")
     first = streams.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), ((F.min("doc_id") != F.max("doc_id")) | (F.count("*") != F.count("doc_id"))).alias("shared"))
-    owned = stored(first.groupBy("doc_id").agg(F.collect_list(F.struct("key", "shared")).alias("own")), "owned")
-    both = streams.withColumn("own", F.lit(None).cast("array<struct<key:binary,shared:boolean>>")).unionByName(owned, allowMissingColumns=True)
+    key = F.when(~F.col("shared"), F.col("key"))
+    owned = stored(first.groupBy("doc_id").agg(F.collect_list(key).alias("own"), F.collect_list(F.when(F.col("shared"), F.col("key"))).alias("own_shared")), "owned")
+    both = streams.withColumns({c: F.lit(None).cast("array<binary>") for c in ("own", "own_shared")}).unionByName(owned, allowMissingColumns=True)
     ordered = both.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("own").isNull())
     ordered.mapInArrow(_pack(encoder(tokenizer).width), PACKS).write.option("compression", "zstd").parquet(f"{path}/packs")
     spark = docs.sparkSession
@@ -273,15 +306,15 @@ def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
     """Every document rebuilt from its recipe: doc_id, part, row, n_tokens, ids_crc32, leaf."""
     packs = spark.read.parquet(f"{path}/packs")
-    none = F.lit(None).cast("array<struct<key:binary,ids:binary>>")
-    columns = ["doc_id", "part", "row", "keys", "new", "shared"]
-    alone = packs.where(F.size("missing") == 0).select(*columns, none.alias("other"))
-    rest = packs.where(F.size("missing") > 0)
+    schema = "doc_id long, part int, row long, n_tokens long, ids_crc32 long, leaf binary"
+    columns = ["doc_id", "part", "row", "keys", "ends", "kept", "shared"]
+    plain = (F.size("missing") == 0) & (F.size("shared") == 0) & (F.length("kept") == width * F.col("n_tokens"))
+    alone = packs.where(plain).select("doc_id", "part", "row", "kept")
     wanted = packs.select("part", "row", F.explode("missing").alias("key"))
     known = packs.select(F.explode("shared").alias("x")).select("x.key", "x.ids")
     other = wanted.join(known, "key").groupBy("part", "row").agg(F.collect_list(F.struct("key", "ids")).alias("other"))
-    joined = rest.select(*columns).join(other, ["part", "row"]).select(*columns, "other")
-    return alone.unionByName(joined).mapInArrow(_rebuild(width), "doc_id long, part int, row long, n_tokens long, ids_crc32 long, leaf binary")
+    rest = packs.where(~plain).select(*columns).join(other, ["part", "row"], "left").select(*columns, "other")
+    return alone.mapInArrow(_rebuild(width), schema).unionByName(rest.mapInArrow(_rebuild(width), schema))
 
 
 def round_trip(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
