@@ -48,13 +48,6 @@ CUT = regex.compile(PATTERN)
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 PACKS = "doc_id long, part int, row long, before long, n_tokens long, leaf binary, keys array<binary>, ends array<long>, kept binary, shared array<struct<key:binary,ids:binary>>, missing array<binary>"
-#: Fixed value: how the tokenizer cuts a text, and the same for Python.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CUT = regex.compile(PATTERN)
-#: The tokenizer shows bytes as characters: printable Latin-1 as it is, the others from U+0100 on.
-_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
-SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
-PACKS = "doc_id long, part int, row long, before long, n_tokens long, leaf binary, keys array<binary>, new array<struct<key:binary,ids:binary>>, shared array<struct<key:binary,ids:binary>>, missing array<binary>"
 
 
 class WordEncoder(dict):
