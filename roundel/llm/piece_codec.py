@@ -27,7 +27,8 @@ from .common import read, slices
 from .words import BASE
 
 SPACE = "▁"
-CACHE_UNITS = 800_000
+CACHE_UNITS = 250_000
+INDEX_CHARS = 700_000  # of distinct units that one suffix array covers
 BATCH_BYTES = 4_000_000
 NONE = np.int64(1 << 40)
 
@@ -156,11 +157,11 @@ class PieceModel:
             key[: n - k] += rank[k:] + 1
             _, rank = np.unique(key, return_inverse=True)
             k *= 2
-        array = np.argsort(rank, kind="stable")
+        array = np.argsort(rank, kind="stable").astype(np.int32)
         padded = np.concatenate([codes, np.full(self.longest, 0x110001)])
         low, high = self._bound(array, padded, False), self._bound(array, padded, True)
         count = high - low
-        piece = np.repeat(np.arange(len(count)), count)
+        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
         at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         start = array[at]
         return start, start + self.length[piece], self.good_id[piece], begins
@@ -256,7 +257,11 @@ class PieceCodec(dict):
             self.clear()
         new = list({u for units in cut for u in units} - self.keys())
         if new:
-            self.update(zip(new, self.model.encode_units(new), strict=True))
+            ends = np.cumsum([len(u) + 1 for u in new])
+            cuts = [0, *np.unique(np.searchsorted(ends, np.arange(INDEX_CHARS, ends[-1], INDEX_CHARS))).tolist(), len(new)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a < b:
+                    self.update(zip(new[a:b], self.model.encode_units(new[a:b]), strict=True))
         return [np.frombuffer(b"".join(map(self.__getitem__, units)), "<u4") for units in cut]
 
     def decode(self, ids: np.ndarray) -> str:
