@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import frees, read, slices
 
 PERCENT = 5
 BLOCK_CHARS = 8_000_000
@@ -139,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     out = None
     for b in range(blocks):
         part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
-        found = docs.mapInArrow(_find(spark.sparkContext.broadcast(part), percent), SCHEMA)
+        found = docs.mapInArrow(frees(_find(spark.sparkContext.broadcast(part), percent)), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 

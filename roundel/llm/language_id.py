@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices, text_buffer
+from .common import frees, read, slices, text_buffer
 
 WINDOW, HIDDEN, PAD = 64, 8, 256
 TRAIN_DOCS, TRAIN_WINDOWS = 2000, 8
@@ -208,7 +208,7 @@ def predict(docs: DataFrame, model: tuple[list[str], Weights], id_col: str = "do
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predict(shared), f"row {kind}, lang_pred string, score double")
+    return rows.mapInArrow(frees(_predict(shared)), f"row {kind}, lang_pred string, score double")
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read, slices, stored, text_buffer
+from .common import frees, read, slices, stored, text_buffer
 from .components import components
 from .signature_tree import Block
 
@@ -143,9 +143,9 @@ class _Join:
         cell = lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS))
         cells = need.select(cell("rep").alias("cell")).distinct()  # CELLS rows at most
         near = self.docs.where("doc_id IS NOT NULL").join(F.broadcast(cells), cell(F.col("doc_id")) == F.col("cell"), "left_semi")
-        sets = stored(near.join(need, F.col("doc_id") == F.col("rep")).select("c", "text").mapInArrow(_sets, "c binary, tokens binary"), "sets")
+        sets = stored(near.join(need, F.col("doc_id") == F.col("rep")).select("c", "text").mapInArrow(frees(_sets), "c binary, tokens binary"), "sets")
         full = rows.join(sets, "c").repartition("group").sortWithinPartitions("group")
-        found = stored(full.select("group", "c", "label", "side", "tokens").mapInArrow(_link(self.percent), "a binary, b binary"), "links")
+        found = stored(full.select("group", "c", "label", "side", "tokens").mapInArrow(frees(_link(self.percent)), "a binary, b binary"), "links")
         self.edges = found if self.edges is None else stored(self.edges.union(found), "links")
         self.labels = components(self.edges)
 
@@ -188,7 +188,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if percent < 75:
         raise ValueError("the bucket keys are sized for 75 percent and more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = stored(docs.mapInArrow(_features, "doc_id long, n long, c binary, keys array<long>"), "shingles")
+    features = stored(docs.mapInArrow(frees(_features), "doc_id long, n long, c binary, keys array<long>"), "shingles")
     classes = features.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
     join = _Join(docs, stored(classes, "classes"), percent, block)
     join.round(0, FIRST)

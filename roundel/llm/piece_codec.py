@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, slices
+from .common import frees, read, slices
 from .words import BASE
 
 SPACE = "▁"
 CACHE_UNITS = 250_000
-INDEX_CHARS = 700_000  # of distinct units that one suffix array covers
-BATCH_BYTES = 4_000_000
+INDEX_CHARS = 300_000  # of distinct units that one suffix array covers
+BATCH_BYTES = 2_000_000
 NONE = np.int64(1 << 40)
 
 
@@ -93,6 +93,7 @@ class PieceModel:
         self.chars = np.full((len(self.good), self.longest), -1, np.int64)
         for row, (s, _) in zip(self.chars, self.good, strict=True):
             row[: len(s)] = [*map(ord, s)]
+        self.char_pairs = self._cell(self.chars[:, :-1] << 21 | np.maximum(self.chars[:, 1:], 0))
         self.length = np.array([len(s) for s, _ in self.good])
         self.good_id = np.array([i for _, i in self.good])
 
@@ -159,20 +160,30 @@ class PieceModel:
             k *= 2
         array = np.argsort(rank, kind="stable").astype(np.int32)
         padded = np.concatenate([codes, np.full(self.longest, 0x110001)])
-        low, high = self._bound(array, padded, False), self._bound(array, padded, True)
+        which = self._possible(codes)
+        low, high = self._bound(array, padded, which, False), self._bound(array, padded, which, True)
         count = high - low
-        piece = np.repeat(np.arange(len(count), dtype=np.int32), count)
+        piece = np.repeat(which, count)
         at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
         start = array[at]
         return start, start + self.length[piece], self.good_id[piece], begins
 
-    def _bound(self, array: np.ndarray, padded: np.ndarray, after: bool) -> np.ndarray:
-        """First suffix not before each piece, or behind all that begin with it."""
-        low, high = np.zeros(len(self.length), np.int64), np.full(len(self.length), len(array))
+    def _possible(self, codes: np.ndarray) -> np.ndarray:
+        """Pieces whose characters, and pairs of characters, all occur in the text (pairs by a hash)."""
+        chars = np.zeros(0x110001, bool)
+        chars[codes] = True
+        ok = (chars[np.maximum(self.chars, 0)] | (self.chars < 0)).all(axis=1)
+        pairs = np.zeros(1 << 22, bool)
+        pairs[self._cell(codes[:-1] << 21 | codes[1:])] = True
+        return np.flatnonzero(ok & (pairs[self.char_pairs] | (self.chars[:, 1:] < 0)).all(axis=1)).astype(np.int32)
+
+    def _bound(self, array: np.ndarray, padded: np.ndarray, which: np.ndarray, after: bool) -> np.ndarray:
+        """First suffix not before each of the pieces, or behind all that begin with it."""
+        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(array))
         wide = np.arange(self.longest)
         while (todo := np.flatnonzero(low < high)).size:
             mid = (low[todo] + high[todo]) // 2
-            chars = self.chars[todo]
+            chars = self.chars[which[todo]]
             differ = np.where(chars < 0, 0, padded[array[mid][:, None] + wide] - chars)
             sign = differ[np.arange(len(todo)), (differ != 0).argmax(axis=1)]
             right = sign <= 0 if after else sign < 0
@@ -287,6 +298,7 @@ def _encode(path: str):
             at = np.concatenate([[0], np.cumsum([len(r) for r in rows])])
             ids = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(np.concatenate([*rows, np.zeros(0, "<u4")]).astype(np.int32)))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names), ids, pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64()), pa.array(same)], names=[*batch.schema.names, "ids", "ids_crc32", "round_trip"])
+        code.clear()
 
     return run
 
@@ -300,7 +312,7 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     are ignored. U+2581 in a text is taken for a space, as the model does.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(_encode(model), "doc_id long, text string, ids array<int>, ids_crc32 long, round_trip boolean")
+    return rows.mapInArrow(frees(_encode(model)), "doc_id long, text string, ids array<int>, ids_crc32 long, round_trip boolean")
 
 
 def op10_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

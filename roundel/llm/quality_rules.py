@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import read, slices, stored, text_buffer
+from .common import frees, read, slices, stored, text_buffer
 
 MIN_DOCS, MAX_SHARE = 20, 0.01  # a line may be on so many documents of a host, or this share of them
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -94,7 +94,7 @@ def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     of docs are ignored, whatever their names.
     """
     rows = docs.select(F.expr("uuid()").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    features = stored(rows.mapInArrow(_features, FEATURES), "line-features")
+    features = stored(rows.mapInArrow(frees(_features), FEATURES), "line-features")
     lines = features.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.h", "line.w")
     often = lines.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     hosts = features.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of")

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, slices, stored
+from .common import frees, read, shared_dir, slices, stored
 from .words import BASE, mixed, powers
 
 END_ID = 1
@@ -181,6 +181,8 @@ def _encode(path: str) -> Callable:
                 keys.append([blake2b(wide[x:y].tobytes(), digest_size=16).digest() for x, y in zip([a, *stops], stops, strict=False)])
                 ends.append([x - a for x in stops])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(streams, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "ids", "keys", "ends"])
+        encode.clear()
+        encode.others.clear()
 
     return run
 
@@ -275,13 +277,13 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     own that name the same chunks. Null ids come first. An empty table gives an empty store.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    streams = stored(docs.mapInArrow(_encode(tokenizer), "doc_id long, ids binary, keys array<binary>, ends array<long>"), "streams", compression="zstd")
+    streams = stored(docs.mapInArrow(frees(_encode(tokenizer)), "doc_id long, ids binary, keys array<binary>, ends array<long>"), "streams", compression="zstd")
     first = streams.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), ((F.min("doc_id") != F.max("doc_id")) | (F.count("*") != F.count("doc_id"))).alias("shared"))
     key = F.when(~F.col("shared"), F.col("key"))
     owned = stored(first.groupBy("doc_id").agg(F.collect_list(key).alias("own"), F.collect_list(F.when(F.col("shared"), F.col("key"))).alias("own_shared")), "owned")
     both = streams.withColumns({c: F.lit(None).cast("array<binary>") for c in ("own", "own_shared")}).unionByName(owned, allowMissingColumns=True)
     ordered = both.repartitionByRange("doc_id").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.col("own").isNull())
-    ordered.mapInArrow(_pack(encoder(tokenizer).width), PACKS).write.option("compression", "zstd").parquet(f"{path}/packs")
+    ordered.mapInArrow(frees(_pack(encoder(tokenizer).width)), PACKS).write.option("compression", "zstd").parquet(f"{path}/packs")
     spark = docs.sparkSession
     packs = spark.read.parquet(f"{path}/packs")
     sums = packs.groupBy("part").agg(F.count("*").alias("rows"), F.sum("n_tokens").alias("ids"))
