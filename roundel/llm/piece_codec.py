@@ -28,7 +28,7 @@ from .words import BASE
 
 SPACE = "▁"
 CACHE_UNITS = 250_000
-INDEX_CHARS = 300_000  # of distinct units that one suffix array covers
+INDEX_CHARS = 400_000  # of distinct units that one suffix array covers
 BATCH_BYTES = 2_000_000
 NONE = np.int64(1 << 40)
 
@@ -93,6 +93,10 @@ class PieceModel:
         self.chars = np.full((len(self.good), self.longest), -1, np.int64)
         for row, (s, _) in zip(self.chars, self.good, strict=True):
             row[: len(s)] = [*map(ord, s)]
+        three = np.full((len(self.good), 3), -1, np.int64)
+        three[:, : min(3, self.longest)] = self.chars[:, :3]
+        low, high = np.where(three < 0, 0, three), np.where(three < 0, 0x1FFFFF, three)
+        self.first_low, self.first_high = (x[:, 0] << 42 | x[:, 1] << 21 | x[:, 2] for x in (low, high))
         self.char_pairs = self._cell(self.chars[:, :-1] << 21 | np.maximum(self.chars[:, 1:], 0))
         self.length = np.array([len(s) for s, _ in self.good])
         self.good_id = np.array([i for _, i in self.good])
@@ -159,9 +163,14 @@ class PieceModel:
             _, rank = np.unique(key, return_inverse=True)
             k *= 2
         array = np.argsort(rank, kind="stable").astype(np.int32)
-        padded = np.concatenate([codes, np.full(self.longest, 0x110001)])
+        padded = np.concatenate([codes, np.full(self.longest + 3, 0x110001)])
         which = self._possible(codes)
-        low, high = self._bound(array, padded, which, False), self._bound(array, padded, which, True)
+        first = padded[:n] << 42 | padded[1 : n + 1] << 21 | padded[2 : n + 2]  # three characters in one number, in order
+        first = first[array]
+        low, high = np.searchsorted(first, self.first_low[which], "left"), np.searchsorted(first, self.first_high[which], "right")
+        long = np.flatnonzero(self.length[which] > 3)
+        a, b = low[long], high[long]
+        low[long], high[long] = self._bound(array, padded, which[long], a, b, False), self._bound(array, padded, which[long], a, b, True)
         count = high - low
         piece = np.repeat(which, count)
         at = np.arange(len(piece)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
@@ -177,9 +186,9 @@ class PieceModel:
         pairs[self._cell(codes[:-1] << 21 | codes[1:])] = True
         return np.flatnonzero(ok & (pairs[self.char_pairs] | (self.chars[:, 1:] < 0)).all(axis=1)).astype(np.int32)
 
-    def _bound(self, array: np.ndarray, padded: np.ndarray, which: np.ndarray, after: bool) -> np.ndarray:
-        """First suffix not before each of the pieces, or behind all that begin with it."""
-        low, high = np.zeros(len(which), np.int64), np.full(len(which), len(array))
+    def _bound(self, array: np.ndarray, padded: np.ndarray, which: np.ndarray, low: np.ndarray, high: np.ndarray, after: bool) -> np.ndarray:
+        """From low to high, the first suffix not before each of the pieces, or behind all that begin with it."""
+        low, high = low.copy(), high.copy()
         wide = np.arange(self.longest)
         while (todo := np.flatnonzero(low < high)).size:
             mid = (low[todo] + high[todo]) // 2
