@@ -40,7 +40,7 @@ from .words import BASE, mixed, powers
 END_ID = 1
 WINDOW, MIN_CHUNK, MASK, MAX_CHUNK = 16, 64, 255, 1024
 FANOUT = 1024
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Fixed value: how the tokenizer cuts a text, and the same for Python.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 CUT = regex.compile(PATTERN)
