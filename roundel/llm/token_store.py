@@ -20,6 +20,7 @@ ids are dealt out once, by ranges of doc_id.
 
 from __future__ import annotations
 
+import gc
 import json
 import sys
 import zlib
@@ -38,7 +39,7 @@ from .common import frees, read, shared_dir, slices, stored
 from .words import BASE, mixed, powers
 
 END_ID = 1
-WINDOW, MIN_CHUNK, MASK, MAX_CHUNK = 16, 64, 255, 1024
+WINDOW, MIN_CHUNK, MASK, MAX_CHUNK = 16, 64, 255, 1024  # ids; WINDOW is a power of two
 FANOUT = 1024
 CACHE_WORDS = 600_000
 #: Fixed value: how the tokenizer cuts a text, and the same for Python.
@@ -142,9 +143,10 @@ def cut_places(ids: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     value = mixed((ids.astype(np.uint64) + np.uint64(1)) * BASE)
     up, _ = powers(WINDOW)
-    total = np.zeros(n, np.uint64)
-    for j in range(WINDOW):
-        total += value[j : j + n] * up[j]
+    total, k = value, 1
+    while k < WINDOW:  # sums over 2, 4, 8, 16 ids
+        total = total[: len(total) - k] + total[k:] * up[k]
+        k *= 2
     return np.flatnonzero((mixed(total) & np.uint64(MASK)) == 0) + WINDOW
 
 
@@ -169,6 +171,7 @@ def _encode(path: str) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
+        gc.disable()  # what is made here has no cycles, and scans of the cache cost more than they find
         for batch in slices(batches, "text"):
             streams = [encode(t) for t in batch.column("text").to_pylist()]
             ids = np.frombuffer(b"".join(streams), f"<u{encode.width}")
@@ -178,11 +181,12 @@ def _encode(path: str) -> Callable:
             keys, ends = [], []
             for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
                 stops = chunk_ends(places[at[i] : at[i + 1]].tolist(), a, b)
-                keys.append([blake2b(wide[x:y].tobytes(), digest_size=16).digest() for x, y in zip([a, *stops], stops, strict=False)])
+                keys.append([blake2b(wide[x:y], digest_size=16).digest() for x, y in zip([a, *stops], stops, strict=False)])
                 ends.append([x - a for x in stops])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(streams, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "ids", "keys", "ends"])
         encode.clear()
         encode.others.clear()
+        gc.enable()
 
     return run
 
@@ -252,7 +256,7 @@ def _rebuild(width: int) -> Callable:
                 crcs.append(zlib.crc32(ids))
                 leaves.append(sha256(ids).digest())
             if crcs:
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "row")), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(leaves, pa.binary())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32", "leaf"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "part", "row", "before")), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(leaves, pa.binary())], names=["doc_id", "part", "row", "before", "n_tokens", "ids_crc32", "leaf"])
 
     return run
 
@@ -299,12 +303,12 @@ def _placed(rows: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def read_store(spark: SparkSession, path: str, width: int = 2) -> DataFrame:
-    """Every document rebuilt from its recipe: doc_id, part, row, n_tokens, ids_crc32, leaf."""
+    """Every document rebuilt from its recipe: doc_id, part, row, before, n_tokens, ids_crc32, leaf."""
     packs = spark.read.parquet(f"{path}/packs")
-    schema = "doc_id long, part int, row long, n_tokens long, ids_crc32 long, leaf binary"
-    columns = ["doc_id", "part", "row", "keys", "ends", "kept", "shared"]
+    schema = "doc_id long, part int, row long, before long, n_tokens long, ids_crc32 long, leaf binary"
+    columns = ["doc_id", "part", "row", "before", "keys", "ends", "kept", "shared"]
     plain = (F.size("missing") == 0) & (F.size("shared") == 0) & (F.length("kept") == width * F.col("n_tokens"))
-    alone = packs.where(plain).select("doc_id", "part", "row", "kept")
+    alone = packs.where(plain).select("doc_id", "part", "row", "before", "kept")
     wanted = packs.select("part", "row", F.explode("missing").alias("key"))
     known = packs.select(F.explode("shared").alias("x")).select("x.key", "x.ids")
     other = wanted.join(known, "key").groupBy("part", "row").agg(F.collect_list(F.struct("key", "ids")).alias("other"))
@@ -320,9 +324,7 @@ def round_trip(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id
     again, manifest = merkle_nodes(rebuilt.select("at", "leaf")), spark.read.parquet(f"{path}/manifest")
     if not again.exceptAll(manifest).isEmpty() or not manifest.exceptAll(again).isEmpty():
         raise RuntimeError(f"{path}: what the store gives back differs from its manifest")
-    before = spark.read.parquet(f"{path}/packs").select("part", "row", "before")
-    out = rebuilt.join(before, ["part", "row"])
-    return out.select("doc_id", (F.col("ids_before") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
+    return rebuilt.select("doc_id", (F.col("ids_before") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
