@@ -57,7 +57,8 @@ class WordEncoder(dict):
     The tokenizer drops white space and no token spans it, so a text's ids are those of its words in
     order, and each distinct word is encoded once. Words of a text within Latin-1 are lower-cased and cut
     up as the tokenizer's pattern does, and the library's model encodes each distinct part; the library
-    encodes any other word as a whole. Words are split at ASCII white space only.
+    encodes any other word as a whole. Words are split at ASCII white space only. A text that names an
+    added token, such as <|endoftext|>, is encoded by the library as a whole.
     """
 
     def __init__(self, path: str):
@@ -69,6 +70,7 @@ class WordEncoder(dict):
         self.end = END_ID.to_bytes(self.width, "little")
         self.others: dict[bytes, bytes] = {}
         self.plain = self._as_expected()
+        self.added = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _as_expected(self) -> bool:
         """Whether words may be cut up here: lower-cased, with the known pattern, and bytes as characters."""
@@ -105,6 +107,10 @@ class WordEncoder(dict):
     def whole(self, text: str) -> bytes:
         return self._packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def names_added(self, low: str) -> bool:
+        """Whether a lower-cased text may hold an added token, which the library finds before it cuts words."""
+        return any(x in low for x in self.added)
+
     def other(self, word: bytes) -> bytes:
         """A word of a text with characters beyond Latin-1."""
         found = self.others.get(word)
@@ -118,10 +124,13 @@ class WordEncoder(dict):
         if len(self) + len(self.others) > CACHE_WORDS:
             self.clear()
             self.others.clear()
+        low = text.lower()
+        if self.names_added(low):
+            return self.whole(text) + self.end
         try:
             if not self.plain:
                 raise UnicodeError
-            words, of = text.lower().encode("latin-1").split(), self.__getitem__
+            words, of = low.encode("latin-1").split(), self.__getitem__
         except UnicodeError:
             words, of = text.encode("utf-8", "replace").split(), self.other
         return b"".join([*map(of, words), self.end])
