@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import frees, read, shared_dir, slices, stored
-from .words import BASE, mixed, powers
+from .words import BASE, SPACE, mixed, powers
 
 END_ID = 1
 WINDOW, MIN_CHUNK, MASK, MAX_CHUNK = 16, 64, 255, 1024  # ids; WINDOW is a power of two
@@ -94,8 +94,6 @@ class WordEncoder(dict):
         low = word.decode("latin-1")
         if low.isalpha():  # one run of letters
             found = self._part(low)
-        elif low[-1] in ".,;:!?" and low[:-1].isalpha():
-            found = self[word[:-1]] + self[word[-1:]]
         elif low.isprintable():
             parts = CUT.findall(low)
             found = self._part(low) if parts == [low] else b"".join([self[p.encode("latin-1")] for p in parts])
@@ -136,6 +134,80 @@ class WordEncoder(dict):
         return b"".join([*map(of, words), self.end])
 
 
+    def all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id.
+
+        Texts within Latin-1 go together: equal words of up to 16 bytes are found by their bytes as two
+        integers, each distinct one is looked up once, and ids are gathered from what was found. Stops
+        behind letters are words of their own. Texts with other characters or U+0000 are encoded one at a time.
+        """
+        if len(self) + len(self.others) > CACHE_WORDS:
+            self.clear()
+            self.others.clear()
+        out: list[bytes] = [b""] * len(texts)
+        plain, at = [], []
+        for i, text in enumerate(texts):
+            low = (text or "").lower()
+            try:
+                data = low.encode("latin-1")
+            except UnicodeError:
+                data = b"\0"
+            if self.plain and b"\0" not in data and not self.names_added(low):
+                plain.append(data)
+                at.append(i)
+            else:
+                out[i] = self(text)
+        if not plain:
+            return out
+        data = b"\n".join([*plain, b""])
+        buf = np.frombuffer(data, np.uint8)
+        inside = ~SPACE[buf]  # each text has a line feed behind it
+        before, cut = np.zeros_like(inside), np.zeros_like(inside)
+        before[1:] = inside[:-1]
+        cut[1:] = LETTER[buf[:-1]] & STOP[buf[1:]]  # no part of a word has a letter and a stop behind it
+        starts, ends = np.flatnonzero(inside & (~before | cut)), np.flatnonzero(before & (~inside | cut))
+        code, first = _same_words(data, starts, ends)
+        found = [self[data[a:b]] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found.append(self.end)
+        n_ids = np.fromiter(map(len, found), np.int64, len(found)) // self.width
+        flat, begin = np.frombuffer(b"".join(found), f"<u{self.width}"), np.cumsum(n_ids) - n_ids
+        words = np.searchsorted(starts, np.cumsum([len(x) + 1 for x in plain]))  # up to the end of each text
+        which = np.full(len(code) + len(plain), len(found) - 1)
+        which[np.arange(len(code)) + np.repeat(np.arange(len(plain)), np.diff(words, prepend=0))] = code
+        n = n_ids[which]
+        stop = np.cumsum(n)
+        ids = flat[np.repeat(begin[which] - stop + n, n) + np.arange(stop[-1])].tobytes()
+        bounds = (stop[words + np.arange(len(plain))] * self.width).tolist()
+        for i, a, b in zip(at, [0, *bounds], bounds, strict=False):
+            out[i] = ids[a:b]
+        return out
+
+
+LETTER = np.array([chr(b).isalpha() for b in range(256)])
+STOP = np.isin(np.arange(256), list(b".,;:!?"))
+#: Keeps the first 0 to 8 bytes of a little-endian integer.
+FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _same_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word and, by number, a word that has it; equal numbers mean equal words. No word holds U+0000.
+
+    Words of over 16 bytes, and any whose hash another word has, get numbers of their own.
+    """
+    size = ends - starts
+    eight = np.ndarray(len(data) + 9, "<u8", data + bytes(16), strides=1)
+    low = eight[starts] & FIRST_BYTES[np.minimum(size, 8)]
+    high = eight[starts + 8] & FIRST_BYTES[np.clip(size - 8, 0, 8)]
+    hashed = pa.array(mixed(low) ^ high * BASE).dictionary_encode()
+    code = hashed.indices.to_numpy().astype(np.int64)
+    first = np.zeros(len(hashed.dictionary), np.int64)
+    first[code] = np.arange(len(code))
+    like = first[code]
+    alone = np.flatnonzero((size > 16) | (low != low[like]) | (high != high[like]) | (size[like] > 16))
+    code[alone] = len(first) + np.arange(len(alone))
+    return code, np.concatenate([first, alone])
+
+
 _encoders: dict[str, WordEncoder] = {}
 
 
@@ -182,7 +254,7 @@ def _encode(path: str) -> Callable:
         encode = encoder(path)
         gc.disable()  # what is made here has no cycles, and scans of the cache cost more than they find
         for batch in slices(batches, "text"):
-            streams = [encode(t) for t in batch.column("text").to_pylist()]
+            streams = encode.all(batch.column("text").to_pylist())
             ids = np.frombuffer(b"".join(streams), f"<u{encode.width}")
             bounds = np.concatenate([[0], np.cumsum([len(s) // encode.width for s in streams])])
             places, wide = cut_places(ids), ids.astype("<u4")

@@ -361,9 +361,11 @@ def test_piece_query_round_trips(spark):
 
 
 def test_texts_encode_as_the_library_does():
-    """All texts of the table and odd ones against the tokenizer itself."""
+    """All texts of the table and odd ones, together and one at a time, against the tokenizer itself."""
     encode = token_store.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
     odd = ["", None, "a\0b c", "ünïcöde Straße x", "日本 語 a", " \x0b\x0c\r ", "a" * 40 + " " + "a" * 41, "abcdefgh abcdefghi abcdefghabcdefgh abcdefghabcdefghi", "it's x's. 'LL 12ab a.b. ...c; ª. µ,", "\x85 a\xa0b", "<|endoftext|>", "word," * 500]
     texts = [*duckdb.sql(f"select text from '{DATA}/documents.parquet'").fetchnumpy()["text"].tolist(), *odd]
     want = [[*encode.tokenizer.encode(t or "", add_special_tokens=False).ids, token_store.END_ID] for t in texts]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encode.all(texts)] == want
     assert [np.frombuffer(encode(t), "<u2").tolist() for t in texts] == want
+    assert encode.all([]) == []
