@@ -285,8 +285,8 @@ def _pack(width: int) -> Callable:
                     of, alone, common = doc, set(own), set(own_shared)
                     continue
                 kept, shared, missing = ids, [], []
-                if doc == of and len(alone) == len(keys):  # every chunk is this document's alone
-                    alone = set()
+                if doc == of and len(alone) >= len(keys) and len(distinct := {*keys}) == len(keys) and distinct <= alone:  # every chunk is this row's alone
+                    alone -= distinct
                 else:
                     mine, seen = [], set()
                     for key, x, y in zip(keys, [0, *ends], ends, strict=False):
@@ -363,7 +363,8 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, id_col: str = "doc_i
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     streams = stored(docs.mapInArrow(frees(_encode(tokenizer)), "doc_id long, ids binary, keys array<binary>, ends array<long>"), "streams", compression="zstd")
-    first = streams.select("doc_id", F.explode("keys").alias("key")).groupBy("key").agg(F.min("doc_id").alias("doc_id"), ((F.min("doc_id") != F.max("doc_id")) | (F.count("*") != F.count("doc_id"))).alias("shared"))
+    named = streams.select("doc_id", F.monotonically_increasing_id().alias("at"), "keys").select("doc_id", "at", F.explode("keys").alias("key"))  # at tells rows of one doc_id apart
+    first = named.groupBy("key").agg(F.min("doc_id").alias("doc_id"), (F.min("at") != F.max("at")).alias("shared"))
     key = F.when(~F.col("shared"), F.col("key"))
     owned = stored(first.groupBy("doc_id").agg(F.collect_list(key).alias("own"), F.collect_list(F.when(F.col("shared"), F.col("key"))).alias("own_shared")), "owned")
     both = streams.withColumns({c: F.lit(None).cast("array<binary>") for c in ("own", "own_shared")}).unionByName(owned, allowMissingColumns=True)

@@ -267,6 +267,18 @@ def test_store_gives_everything_back(spark):
     assert stored < 2 * at - 4 * len(encode(passage)) + 4000  # the passage is there once
 
 
+def test_rows_that_share_an_id_come_back(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    r = random.Random(8)
+    prose = lambda n: " ".join("the of and thing stone river light".split()[r.randrange(7)] + str(r.random()) for _ in range(n))
+    one, two, both = prose(90), prose(150), prose(200)
+    rows = [(3, "some own text"), (3, "some own text"), (5, one), (5, two), (5, f"{one} {two} {both}"), (5, both), (None, one), (None, "alone"), (None, "alone"), (None, prose(80)), (7, "alone")]
+    out = token_store.round_trip(spark.createDataFrame(rows, "doc_id long, text string"), shared_dir(spark, "twins"), path).collect()
+    encode = token_store.WordEncoder(path)
+    want = Counter((i, zlib.crc32(np.frombuffer(encode(t), "<u2").astype("<u4").tobytes())) for i, t in rows)
+    assert Counter((x.doc_id, x.ids_crc32) for x in out) == want
+
+
 def test_chunks_follow_content():
     r = np.random.default_rng(1)
     a, b = r.integers(0, 40000, 5000), r.integers(0, 40000, 777)
