@@ -19,8 +19,14 @@ from pyspark.sql import functions as F
 
 from .common import read, slices
 
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
-ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+#: An attribute as HTML reads it: a quote delimits a value only right behind `=`, elsewhere it is a plain character.
+_S = r"[ \t\n\r\f]"
+_ATTRIBUTE = rf"([^ \t\n\r\f/>][^ \t\n\r\f/>=]*+)(?:{_S}*+={_S}*+(?:\"([^\"]*+)\"|'([^']*+)'|(?![\"'])([^ \t\n\r\f>]*+)))?+"
+ATTRIBUTE = re.compile(_ATTRIBUTE)
+_NAME = r"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)"
+TAG = re.compile(rf"{_NAME}((?:[ \t\n\r\f/]*+{re.sub(r'[(](?![?])', '(?:', _ATTRIBUTE)})*+)[ \t\n\r\f]*+([ \t\n\r\f/]*+)>")
+#: A tag up to the next `>`, for pages on which a tag does not end by the rules.
+LOOSE = re.compile(rf"{_NAME}([^>]*?)(/?)>")
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
@@ -75,7 +81,10 @@ class Element:
 
 
 def tree(html: str) -> Element:
-    """The elements and texts of a page below one root. Tags that never end, and the rest behind them, are dropped."""
+    """The elements and texts of a page below one root.
+
+    A tag that does not end by the rules ends at the next `>`; without one, it and the rest are dropped.
+    """
     root = Element("#root")
     open_: list[Element] = [root]
     names: dict[str, int] = {}  # how many of each are open
@@ -94,7 +103,7 @@ def tree(html: str) -> Element:
                 return None
         return None
 
-    at, n = 0, len(html)
+    at, n, pattern = 0, len(html), TAG
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
@@ -108,7 +117,7 @@ def tree(html: str) -> Element:
             at = n if end < 0 else end + 3
             continue
         nxt = html[lt + 1 : lt + 2]
-        if nxt in ("!", "?") or nxt == "/" and not html[lt + 2 : lt + 3].isalpha():
+        if nxt in ("!", "?") or nxt == "/" and not (html[lt + 2 : lt + 3].isascii() and html[lt + 2 : lt + 3].isalpha()):
             end = html.find(">", lt)
             at = n if end < 0 else end + 1
             continue
@@ -116,7 +125,10 @@ def tree(html: str) -> Element:
             open_[-1].children.append("<")
             at = lt + 1
             continue
-        m = TAG.match(html, lt)
+        m = pattern.match(html, lt)
+        if not m and pattern is TAG:  # once, so that a page is read in linear time
+            pattern = LOOSE
+            m = LOOSE.match(html, lt)
         if not m:
             break
         at = m.end()

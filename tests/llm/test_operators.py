@@ -235,6 +235,15 @@ def test_layout():
     assert html_text.extract("<pre>a\n  b</pre>") == "a\n  b"
 
 
+def test_quotes_count_only_behind_an_equals_sign():
+    e = html_text.extract
+    assert e("<a title=don't href=x>one</a><p>two") == "one\n\ntwo" and e('<a href="x"">one</a><p>two</p>three') == "one\n\ntwo\n\nthree"
+    assert e("<a title=don't>one</a><p>two</p><a title=can't>three</a>") == "one\n\ntwo\n\nthree" and e("<a title='1 > 2' x>y") == "y"
+    assert e('<a href="x>one</a><p>two') == "one\n\ntwo" and e("</é>one") == "one" and e("<img alt = 'a>b'/>c") == "a>bc"
+    assert e("<p hidden=>no<p hidden>no<p>yes<p data-x=hidden>too<br/>x") == "yes\n\ntoo\nx"
+    assert e("<a x='>' " * 40000 + "<p>z").endswith("z")
+
+
 # token store
 
 
