@@ -33,7 +33,13 @@ BLANK = re.compile(r"[ \t\n\r\f]+")
 #: Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist select svg math object audio video canvas".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes datalist object audio video canvas".split())
+#: Below svg and math: elements that are not drawn, those with HTML inside, and HTML tags that end the drawing.
+FOREIGN = ("svg", "math")
+UNDRAWN = frozenset("annotation annotation-xml desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+INTEGRATION = frozenset("foreignobject desc title annotation-xml mi mo mn ms mtext".split())
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+HEAD_CONTENT = frozenset("base basefont bgsound link meta title noscript noframes style script template head".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body address article aside center details dialog dd div dt figcaption footer form header hgroup legend li main nav optgroup option search section summary tr td th thead tbody tfoot caption".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul".split())
@@ -56,10 +62,10 @@ TABLE_PARTS, TABLE_SCOPE = frozenset("table thead tbody tfoot tr td th caption".
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "foreign")
 
-    def __init__(self, tag: str, attributes: str = ""):
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: str = "", foreign: bool = False):
+        self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
 
     def get(self, name: str) -> str | None:
         if name not in self.attributes.lower():
@@ -70,12 +76,14 @@ class Element:
         return None
 
     def hidden(self) -> bool:
-        if self.tag in UNSEEN:
+        if self.tag in UNSEEN or self.foreign and self.tag in UNDRAWN:
             return True
         if not self.attributes:
             return False
         if self.get("hidden") is not None or self.tag == "input":
             return True
+        if self.foreign and (self.get("display") == "none" or self.get("visibility") in ("hidden", "collapse")):
+            return True
         style = self.get("style")
         return bool(style and HIDING.search(style))
 
@@ -103,13 +111,30 @@ def tree(html: str) -> Element:
                 return None
         return None
 
+    def end_head() -> None:
+        while open_[-1].tag == "head":
+            pop_to(len(open_) - 1)
+
+    def foreign() -> bool:
+        """Whether the innermost open element stands in svg or math, outside HTML inside them."""
+        if names.get("svg") or names.get("math"):
+            for k in range(len(open_) - 1, 0, -1):
+                if open_[k].tag in FOREIGN:
+                    return True
+                if open_[k].tag in INTEGRATION:
+                    return False
+        return False
+
     at, n, pattern = 0, len(html), TAG
     while at < n:
         lt = html.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            open_[-1].children.append(unescape(html[at:lt]))
+            text = unescape(html[at:lt])
+            if open_[-1].tag == "head" and text.strip(" \t\n\r\f"):
+                end_head()
+            open_[-1].children.append(text)
         if lt == n:
             break
         if html.startswith("<!--", lt):
@@ -122,6 +147,7 @@ def tree(html: str) -> Element:
             at = n if end < 0 else end + 1
             continue
         if not (nxt == "/" or nxt.isascii() and nxt.isalpha()):
+            end_head()
             open_[-1].children.append("<")
             at = lt + 1
             continue
@@ -141,12 +167,20 @@ def tree(html: str) -> Element:
             else:
                 close((tag,), (TABLE_SCOPE if tag in TABLE_PARTS else SCOPE) - {tag})
             continue
+        if tag not in HEAD_CONTENT:
+            end_head()
+        inside = foreign()
+        while inside and tag in BREAKOUT:
+            close(FOREIGN, INTEGRATION)
+            inside = foreign()
         if tag in ENDS_P:
             close(("p",), SCOPE)
         if tag in ENDS:
             close(*ENDS[tag])
-        element = Element(tag, m[3])
+        element = Element(tag, m[3], inside)
         open_[-1].children.append(element)
+        if inside and "/" in m[4]:
+            continue
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(html, at)
             stop = end.start() if end else n
@@ -230,6 +264,20 @@ def aligned(rows: list[list[str]]) -> list[str]:
     return ["  ".join(cell.ljust(w) for cell, w in zip(row, wide, strict=False)).rstrip() for row in rows]
 
 
+def drawn(svg: Element) -> list[Element | str]:
+    """What an svg element shows as text: its text elements and the HTML inside it, each apart from the others."""
+    out, todo = [], [*reversed(svg.children)]
+    while todo:
+        node = todo.pop()
+        if isinstance(node, str) or node.hidden():
+            continue
+        if node.tag in ("text", "foreignobject"):
+            out += [" ", node, " "]
+        else:
+            todo += reversed(node.children)
+    return out
+
+
 def render(root: Element) -> str:
     """All visible text of a tree."""
     page, outer = Page(), []  # outer: the pages around open cells
@@ -293,7 +341,7 @@ def render(root: Element) -> str:
                     keep += 1
             if tag not in VOID:
                 todo.append((node, False))
-                todo += [(c, True) for c in reversed(node.children)]
+                todo += [(c, True) for c in reversed(drawn(node) if tag == "svg" else node.children)]
             continue
         if tag in ("td", "th"):
             cell = BLANK.sub(" ", page.done())

@@ -235,6 +235,16 @@ def test_layout():
     assert html_text.extract("<pre>a\n  b</pre>") == "a\n  b"
 
 
+def test_head_ends_without_a_tag_and_drawn_text_is_seen():
+    e = html_text.extract
+    assert e("<html><head><title>T</title><p>Hello") == "Hello" and e("<head><meta x>\n<link y> Hi<p>you") == "Hi\n\nyou"
+    assert e("<head><script>a</script><style>b</style><noscript><img alt=c></noscript><base></head><body>d") == "d" and e("<head>3 &lt; 4") == "3 < 4" and e("<head>< 4") == "< 4"
+    assert e("<p>x <select><option>one<option>two</select>") == "x\none\ntwo" and e("<datalist><option>no</datalist>y") == "y"
+    assert e("<math><semantics><mi>x</mi><mo>=</mo><mn>2</mn><annotation>no</annotation></semantics></math>") == "x=2"
+    assert e("a<svg><title/><desc>no</desc><defs><text>no</text></defs>no<g><text x=1>b<tspan>c</tspan></text></g><foreignObject><p>d</foreignObject></svg>e") == "a bc\n\nd\n\ne"
+    assert e("<svg><path d=x><p>Hello") == "Hello" and e("<svg><path d='x'/><text>t</text></svg>u") == "t u"
+
+
 def test_quotes_count_only_behind_an_equals_sign():
     e = html_text.extract
     assert e("<a title=don't href=x>one</a><p>two") == "one\n\ntwo" and e('<a href="x"">one</a><p>two</p>three') == "one\n\ntwo\n\nthree"
