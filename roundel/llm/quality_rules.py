@@ -9,6 +9,7 @@ back reads stored tables, which lets Spark split a hot line's rows.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import frees, read, slices, stored, text_buffer
+from .common import SLICE_BYTES, frees, read, slices, stored, text_buffer
 
 MIN_DOCS, MAX_SHARE = 20, 0.01  # a line may be on so many documents of a host, or this share of them
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -26,7 +27,16 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FEATURES = "row_id string, doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h:long,w:int>>"
+FEATURES = "row_id string, doc_id long, host string, " + ", ".join(f"{c} long" for c in COUNTS) + ", lines array<struct<h:long,w:int>>, packed binary"  # packed: the text, deflated, as it is stored and shuffled once
+CLEANED = "doc_id long, " + ", ".join(f"{c} long" for c in COUNTS) + ", text string, n_cut_lines long, n_words_left long"
+
+
+def _worded_lines(buf: np.ndarray, offsets: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where lines begin, the line of each word, and the first word and the one behind the last of each line that has words."""
+    breaks = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(buf == 10) + 1]))
+    line = np.searchsorted(breaks, starts, "right") - 1
+    begin = np.flatnonzero(np.diff(line, prepend=-1))
+    return breaks, line, begin, np.append(begin[1:], len(line)) if len(begin) else begin
 
 
 def text_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], tuple[np.ndarray, ...]]:
@@ -53,10 +63,7 @@ def text_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndar
     covered = np.cumsum(mark)[:-1] > 0
     out["n_repeat_words"] = np.bincount(text[covered], minlength=n_texts)
 
-    breaks = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(buf == 10) + 1]))
-    line = np.searchsorted(breaks, starts, "right") - 1
-    begin = np.flatnonzero(np.diff(line, prepend=-1))  # first word of each line that has one
-    until = np.append(begin[1:], len(line)) if len(begin) else begin
+    breaks, line, begin, until = _worded_lines(buf, offsets, starts)
     line_text = text[begin]
     stops = np.append(breaks[1:], len(buf)) if len(breaks) else breaks
     stop = stops[line[begin]]
@@ -75,41 +82,83 @@ def text_counts(buf: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndar
     return out, (t[at], h[at], np.add.reduceat(n, at) if len(at) else n)
 
 
+def without_lines(buf: np.ndarray, offsets: np.ndarray, text: np.ndarray, h: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The texts without the lines that (text number, hash) name, and for each the distinct lines cut and the words left."""
+    n_texts = len(offsets) - 1
+    starts, ends, of = W.word_spans(buf, offsets)
+    breaks, line, begin, until = _worded_lines(buf, offsets, starts)
+    t, n = of[begin], until - begin
+    hashes = W.range_hashes(W.range_hashes(W.FOLDED[buf], starts, ends), begin, until) if len(begin) else np.zeros(0, np.uint64)
+    key = hashes ^ W.mixed(t.astype(np.uint64) + np.uint64(1))
+    cut = np.isin(key, h ^ W.mixed(text.astype(np.uint64) + np.uint64(1)))
+    _, at = np.unique(key[cut], return_index=True)
+    first, stop = breaks[line[begin]][cut], np.append(breaks[1:], len(buf))[line[begin]][cut]
+    mark = np.zeros(len(buf) + 1, np.int64)
+    mark[first] += 1
+    np.add.at(mark, stop, -1)
+    keep = np.cumsum(mark)[:-1] == 0
+    data, bounds = buf[keep].tobytes(), np.concatenate([[0], np.cumsum(keep)])[offsets].tolist()
+    open_end = {*t[cut][(stop == offsets[t[cut] + 1]) & (buf[stop - 1] != 10)].tolist()}  # the last line went, so the break before it goes
+    out = [data[a:b].removesuffix(b"\n" if i in open_end else b"").decode() for i, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False))]
+    return out, np.bincount(t[cut][at], minlength=n_texts), np.bincount(t[~cut], n[~cut], n_texts).astype(np.int64)
+
+
+def _without_frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "packed", SLICE_BYTES // 4):
+        texts, lists = [x if x is None else zlib.decompress(x).decode() for x in batch.column("packed").to_pylist()], batch.column("cut_lines").to_pylist()
+        at = np.array([i for i, x in enumerate(lists) if x], np.int64)
+        n_cut, left = np.zeros(len(texts), np.int64), batch.column("n_words").to_numpy().copy()
+        if len(at):
+            of = np.repeat(np.arange(len(at)), [len(lists[i]) for i in at])
+            h = np.concatenate([np.array(lists[i], np.int64) for i in at]).view(np.uint64)
+            new, n_cut[at], left[at] = without_lines(*text_buffer(pa.array([texts[i] for i in at], pa.string())), of, h)
+            for i, text in zip(at.tolist(), new, strict=True):
+                texts[i] = text
+        columns = [batch.column(c) for c in ("doc_id", *COUNTS)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(texts, pa.string()), pa.array(n_cut), pa.array(left)], names=["doc_id", *COUNTS, "text", "n_cut_lines", "n_words_left"])
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
+        packed = pa.array([None if x is None else zlib.compress(x.encode(), 6) for x in batch.column("text").to_pylist()], pa.binary())
         counts, (t, h, n) = text_counts(*text_buffer(batch.column("text")))
         at = np.searchsorted(t, np.arange(batch.num_rows + 1))
         lines = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.StructArray.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int32))], ["h", "w"]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("row_id"), batch.column("doc_id"), batch.column("host"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), lines],
-            names=["row_id", "doc_id", "host", *COUNTS, "lines"],
+            [batch.column("row_id"), batch.column("doc_id"), batch.column("host"), *(pa.array(counts[c].astype(np.int64)) for c in COUNTS), lines, packed],
+            names=["row_id", "doc_id", "host", *COUNTS, "lines", "packed"],
         )
 
 
-def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """One row for each row of docs: doc_id, the five counts, base_failed, n_cut_lines, n_words_left, kept.
+def clean_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """One row for each row of docs: doc_id, text without its frequent lines, the five counts, base_failed, n_cut_lines, n_words_left, kept.
 
-    A null or empty text has no words, so it fails. A null host is a host of its own. Repeated rows
-    are separate documents and count as such. An empty table gives an empty result. Other columns
-    of docs are ignored, whatever their names.
+    The counts are those of the whole text. A null or empty text has no words, so it fails. A null
+    host is a host of its own. Repeated rows are separate documents and count as such. An empty table
+    gives an empty result. Other columns of docs are ignored, whatever their names.
     """
     rows = docs.select(F.expr("uuid()").alias("row_id"), F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
     features = stored(rows.mapInArrow(frees(_features), FEATURES), "line-features")
-    lines = features.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.h", "line.w")
+    lines = features.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.h")
     often = lines.groupBy("host", "h").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > min_docs)
     hosts = features.groupBy("host").agg(F.count("*").alias("host_docs")).withColumnRenamed("host", "of")
     cut = often.join(hosts, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n_docs") > max_share * F.col("host_docs"))
     cut = stored(cut.select(F.col("host").alias("cut_host"), F.col("h").alias("cut_h")), "frequent-lines")
-    lost = lines.join(cut, (F.col("h") == F.col("cut_h")) & F.col("host").eqNullSafe(F.col("cut_host"))).groupBy("row_id").agg(F.count("*").alias("n_cut"), F.sum("w").alias("w_cut"))
-    out = features.drop("lines", "host").join(lost, "row_id", "left")
+    lost = lines.join(cut, (F.col("h") == F.col("cut_h")) & F.col("host").eqNullSafe(F.col("cut_host"))).groupBy("row_id").agg(F.collect_list("h").alias("cut_lines"))
+    out = features.drop("lines", "host").join(lost, "row_id", "left").drop("row_id").mapInArrow(frees(_without_frequent), CLEANED)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    left = F.col("n_words") - F.coalesce("w_cut", F.lit(0))
+    left = F.col("n_words_left")
     return out.select(
-        "doc_id", *COUNTS, failed.alias("base_failed"), F.coalesce("n_cut", F.lit(0)).cast("long").alias("n_cut_lines"), left.cast("long").alias("n_words_left"),
+        "doc_id", "text", *COUNTS, failed.alias("base_failed"), "n_cut_lines", "n_words_left",
         (~failed & (left >= MIN_WORDS) & (left >= min_left * F.col("n_words"))).alias("kept"),
     )
 
 
+def line_frequency(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+    """The rows of clean_lines without their texts."""
+    return clean_lines(docs, id_col, text_col, host_col, min_docs, max_share, min_left).drop("text")
+
+
 def op1_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_frequency(read(spark, sf_dir, "documents"))
 

@@ -89,6 +89,18 @@ def test_frequent_lines_deplete_documents(spark):
     assert out[61].base_failed and out[62].base_failed and out[63].base_failed and out[63].n_words == 20000
 
 
+def test_frequent_lines_leave_the_text(spark):
+    shapes = ["{c}\nown {i}", "own {i}\n{c}", "own {i}\n\n{c}\n", "{c}", "{c}\n{C}\nb {i}\n {c} ", "own {i}"]
+    letters = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    texts = [shapes[i % 6].format(c="é Common line 7", C="É common  LINE 8".replace("É", "é"), i=letters(i)) for i in range(60)] + [None, ""]
+    out = {x.doc_id: x for x in quality_rules.clean_lines(docs(spark, texts)).collect()}
+    for i, text in enumerate(texts):
+        lines = text.split("\n") if text else []
+        left = [x for x in lines if "common" not in x.lower()]
+        assert out[i].text == (text if not text else "\n".join(left)), i
+        assert out[i].n_words_left == len(WORD.findall(out[i].text or "")) and out[i].n_cut_lines == (len(left) < len(lines))
+
+
 # n-gram join
 
 
