@@ -3,7 +3,8 @@
 1. language_id: documents without a letter, or whose most probable language has less than MIN_SCORE, go.
 2. near_duplicates: of each group of linked documents the one with the smallest doc_id stays.
 3. decontamination: documents that hold a benchmark item go.
-4. secrets: every secret in a text is replaced by [SECRET]; n_chars follows. No document goes.
+4. secrets: every secret in a text is replaced by [SECRET], with all parts of entropy spans that overlap
+   others; n_chars follows. No document goes.
 5. pieces: the ids of each document, with the text they decode to.
 
 A document with a null text goes in the first stage. Documents without words have no shingles and are
@@ -41,7 +42,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = secret_scan.scan_secrets(docs)
+    found = secret_scan.scan_secrets(docs, whole=True)
     text = F.when(F.size("found") > 0, secret_scan.redact(F.col("text"), F.col("found"))).otherwise(F.col("text"))
     clean = found.withColumn("text", text)
     return clean.withColumn("n_chars", F.when(F.size("found") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop("found")

@@ -28,6 +28,11 @@ CLASSES = (
     ("[0-9A-F]{32,}", 32, 3.0, "[A-F]"),
     ("[A-Za-z0-9+/_-]{24,}", 24, 3.9, "(?s)(?=.*[0-9])(?=.*[A-Z])(?=.*[a-z])"),
 )
+#: More of them, for redaction alone: lower-case letters and digits, and base32. The query's SQL has only CLASSES.
+MORE_CLASSES = (
+    ("[a-z0-9]{24,}", 24, 3.4, "(?s)(?=.*[0-9])(?=.*[a-z])"),
+    ("[A-Z2-7]{24,}", 24, 3.3, "(?s)(?=.*[2-7])(?=.*[A-Z])"),
+)
 #: Candidates that hold one of these are no secrets: counting sequences, stand-ins, inline images.
 ALLOW = ("0123456789", "abcdefghij", "ABCDEFGHIJ", "EXAMPLE", "example", "xxxxxxxx", "XXXXXXXX", "iVBORw0KGgo", "R0lGODlh")
 
@@ -96,11 +101,12 @@ def _entropy(text: Column, pattern: str, width: int, bits: float, needs: str, al
     return F.flatten(F.transform(_located(text, pattern, 0, width, 3), spans))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, whole: bool = False) -> DataFrame:
     """Docs with the column `found`: spans (start, kind, stop) in code points, by start and then kind, the end exclusive.
 
     A null or empty text has none. Rows are judged one by one, so repeated rows get equal results and
-    an empty table stays empty. All columns of docs stay; one called `found` is replaced.
+    an empty table stays empty. All columns of docs stay; one called `found` is replaced. With `whole`,
+    MORE_CLASSES are looked for too and entropy spans stay where they overlap others, as redaction needs.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     small = F.lower(text)
@@ -112,8 +118,10 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(text.contains("AKIA"), _located(text, ACCESS, 0, MIN_ACCESS, 1)).otherwise(_none()),
         F.when(text.rlike(f"[0-9a-f]{{{MIN_HEX}}}"), _located(text, f"[0-9a-f]{{{MIN_HEX},}}", 0, MIN_HEX, 2)).otherwise(_none()),
     )
-    more = [F.when(text.rlike(pattern), _entropy(text, pattern, width, bits, needs, allow)).otherwise(_none()) for pattern, width, bits, needs in CLASSES]
+    more = [F.when(text.rlike(pattern), _entropy(text, pattern, width, bits, needs, allow)).otherwise(_none()) for pattern, width, bits, needs in (*CLASSES, *(MORE_CLASSES if whole else ()))]
     rest = docs.drop("found") if text_col != "found" else docs
+    if whole:
+        return rest.withColumn("found", F.array_sort(F.array_distinct(F.concat(base, *more))))
     out = rest.withColumn("__base", base).withColumn("__more", F.array_sort(F.concat(*more)))
     # the classes overlap: of two entropy spans that touch, the earlier stays
     apart = F.aggregate("__more", _none(), lambda acc, s: F.when(F.exists(acc, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])), acc).otherwise(F.concat(acc, F.array(s))))
