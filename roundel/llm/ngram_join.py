@@ -47,7 +47,7 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> l
         if at[i] < at[i + 1]:
             out.append(np.unique(full[at[i] : at[i + 1]]))
         elif n := word_at[i + 1] - word_at[i]:
-            up, _ = W.powers(size)
+            up = W.powers(size)
             out.append(W.mixed((hashes[word_at[i] : word_at[i + 1]] * up[:n]).sum(dtype=np.uint64, keepdims=True) ^ np.uint64(n)))
         else:
             out.append(full[:0])

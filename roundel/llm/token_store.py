@@ -223,7 +223,7 @@ def cut_places(ids: np.ndarray) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.int64)
     value = mixed((ids.astype(np.uint64) + np.uint64(1)) * BASE)
-    up, _ = powers(WINDOW)
+    up = powers(WINDOW)
     total, k = value, 1
     while k < WINDOW:  # sums over 2, 4, 8, 16 ids
         total = total[: len(total) - k] + total[k:] * up[k]
@@ -253,21 +253,23 @@ def _encode(path: str) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         gc.disable()  # what is made here has no cycles, and scans of the cache cost more than they find
-        for batch in slices(batches, "text"):
-            streams = encode.all(batch.column("text").to_pylist())
-            ids = np.frombuffer(b"".join(streams), f"<u{encode.width}")
-            bounds = np.concatenate([[0], np.cumsum([len(s) // encode.width for s in streams])])
-            places, wide = cut_places(ids), ids.astype("<u4")
-            at = np.searchsorted(places, bounds)
-            keys, ends = [], []
-            for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
-                stops = chunk_ends(places[at[i] : at[i + 1]].tolist(), a, b)
-                keys.append([blake2b(wide[x:y], digest_size=16).digest() for x, y in zip([a, *stops], stops, strict=False)])
-                ends.append([x - a for x in stops])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(streams, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "ids", "keys", "ends"])
-        encode.clear()
-        encode.others.clear()
-        gc.enable()
+        try:
+            for batch in slices(batches, "text"):
+                streams = encode.all(batch.column("text").to_pylist())
+                ids = np.frombuffer(b"".join(streams), f"<u{encode.width}")
+                bounds = np.concatenate([[0], np.cumsum([len(s) // encode.width for s in streams])])
+                places, wide = cut_places(ids), ids.astype("<u4")
+                at = np.searchsorted(places, bounds)
+                keys, ends = [], []
+                for i, (a, b) in enumerate(zip(bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                    stops = chunk_ends(places[at[i] : at[i + 1]].tolist(), a, b)
+                    keys.append([blake2b(wide[x:y], digest_size=16).digest() for x, y in zip([a, *stops], stops, strict=False)])
+                    ends.append([x - a for x in stops])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(streams, pa.binary()), pa.array(keys, pa.list_(pa.binary())), pa.array(ends, pa.list_(pa.int64()))], names=["doc_id", "ids", "keys", "ends"])
+        finally:  # the worker is used again, also after a failed task
+            encode.clear()
+            encode.others.clear()
+            gc.enable()
 
     return run
 

@@ -1,7 +1,9 @@
 """Words, word hashes and windows of many texts at once, vectorised over their UTF-8 bytes.
 
 A word is a longest run without U+0020 and U+0009 to U+000D. All hashes are 64 bits wide and the
-same on every machine; equal hashes are taken as equal words or windows.
+same on every machine; equal hashes are taken as equal words or windows. A range of bytes or words is
+hashed by a tree of mixed pairs, never by a polynomial, which has known strings of equal hashes.
+A text costs some 20 bytes of memory for each of its bytes while it is taken; nothing is kept.
 """
 
 from __future__ import annotations
@@ -20,32 +22,66 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-#: A value for each byte: as it is, with A-Z lower-cased, and so with digits alike.
-EXACT = mixed(np.arange(1, 257, dtype=np.uint64) * BASE)
+#: What each byte counts as: itself, with A-Z lower-cased, and so with digits alike.
+EXACT = np.arange(256, dtype=np.uint8)
 LOWER = EXACT.copy()
 LOWER[65:91] = EXACT[97:123]
 FOLDED = LOWER.copy()
 FOLDED[48:58] = EXACT[48]
 
 
-_known: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i for i up to at least n, modulo 2**64; the largest tables so far are kept."""
-    if not _known or len(_known[0]) <= n:
-        size = 1 << max(20, int(n).bit_length())
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        _known[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size, b))]) for b in (BASE, inverse)]
-    return _known[0], _known[1]
-
-
-def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash for each range of values; it depends on their order and not on their place."""
-    up, down = powers(len(values))
-    acc = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[: len(values)], out=acc[1:])
-    return mixed((acc[ends] - acc[starts]) * down[starts])
+def powers(n: int) -> np.ndarray:
+    """BASE**i for i up to n, modulo 2**64."""
+    return np.concatenate([[np.uint64(1)], np.cumprod(np.full(n, BASE))])
+
+
+def _spread(starts: np.ndarray, sizes: np.ndarray, step: int = 1) -> np.ndarray:
+    """starts[g] + step * j for every j below sizes[g], group after group."""
+    ends = np.cumsum(sizes)
+    out = np.arange(int(ends[-1]) if len(ends) else 0)
+    if step > 1:
+        out *= step
+    return out + np.repeat(starts - step * (ends - sizes), sizes)
+
+
+def folded(h: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """One hash for each group of consecutive hashes: neighbours are mixed in pairs until one is left, then with the group's size."""
+    at = np.cumsum(sizes) - sizes
+    out = np.zeros(len(sizes), np.uint64)
+    one = sizes == 1
+    out[one] = h[at[one]]
+    live = np.flatnonzero(sizes > 1)
+    h, n = h[_spread(at[live], sizes[live])], sizes[live]
+    while len(live):
+        at, half = np.cumsum(n) - n, (n + 1) // 2
+        left = _spread(at, half, 2)
+        pair = left + 1 < np.repeat(at + n, half)
+        up = h[left]
+        up[pair] = mixed(up[pair] * BASE + mixed(h[left[pair] + 1] + BASE))
+        done = half == 1
+        first = np.cumsum(half) - half
+        out[live[done]] = up[first[done]]
+        more = ~done
+        h, live, n = up[_spread(first[more], half[more])] if done.any() else up, live[more], half[more]
+    return mixed(out ^ (sizes.astype(np.uint64) * BASE))
+
+
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """One hash for each range of bytes, by its content alone."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the eight bytes from each place on
+    sizes = ends - starts
+    chunks = np.maximum((sizes + 7) // 8, 1)
+    value = eight[_spread(starts, chunks, 8)]
+    last = np.cumsum(chunks) - 1  # bytes behind the end don't count
+    value[last] &= _LOW[sizes - 8 * (chunks - 1)]
+    return mixed(folded(mixed(value + BASE), chunks) ^ sizes.astype(np.uint64))
+
+
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def word_spans(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,7 +103,7 @@ def windows(hashes: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, n
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    up, _ = powers(k)
+    up = powers(k)
     total = np.zeros(n, np.uint64)
     for j in range(k):
         total += hashes[j : j + n] * up[j]
@@ -77,6 +113,8 @@ def windows(hashes: np.ndarray, text: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 def per_text(flags: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags are set in each text's bytes."""
-    acc = np.zeros(len(flags) + 1, np.int64)
-    np.cumsum(flags, out=acc[1:])
-    return acc[offsets[1:]] - acc[offsets[:-1]]
+    out = np.zeros(len(offsets) - 1, np.int64)
+    some = np.flatnonzero(np.diff(offsets))
+    if len(some):
+        out[some] = np.add.reduceat(flags, offsets[some], dtype=np.int64)
+    return out

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from roundel.llm import decontamination, html_text, language_id, ngram_join, piece_codec, quality_rules, registry, secret_scan, sharding, signature_tree, token_store, url_filters
+from roundel.llm import decontamination, html_text, language_id, ngram_join, piece_codec, quality_rules, registry, secret_scan, sharding, signature_tree, token_store, url_filters, words
 from roundel.llm.common import shared_dir, text_buffer
 
 DATA = "/root/testdata/sf0.001"
@@ -73,7 +73,7 @@ def counts_by_hand(text):
 def test_text_counts_equal_plain_python():
     r = random.Random(3)
     texts = ["".join(r.choice("ab é\n\t#\x0b\x1c漢") for _ in range(r.randint(0, 120))) for _ in range(300)] + ["", None, "a b c d e f g h " * 3, "\n\n", "x\nx\n x\nx"]
-    got, _ = quality_rules.text_counts(*text_buffer(pa.array(texts)))
+    got = quality_rules.Parsed(*text_buffer(pa.array(texts))).counts()
     rows = list(zip(*(got[c].tolist() for c in quality_rules.COUNTS), strict=True))
     assert rows == [counts_by_hand(t) for t in texts]
 
@@ -89,6 +89,51 @@ def test_frequent_lines_deplete_documents(spark):
     assert out[61].base_failed and out[62].base_failed and out[63].base_failed and out[63].n_words == 20000
 
 
+def thue_morse(n):
+    """Two different words of n letters that polynomials modulo 2**64 can't tell apart."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
+def test_hashes_tell_thue_morse_words_apart():
+    one, two = thue_morse(4096)
+    texts = [f"{one}\n{two}", " ".join(f"{w} b c d e f g h" for w in (one, two)), " ".join(one), " ".join(two)]
+    got = quality_rules.Parsed(*text_buffer(pa.array(texts)))
+    assert got.counts()["n_dup_lines"][0] == 0 and got.counts()["n_repeat_words"][1] == 0
+    assert len({*got.normal_lines().tolist()}) == 5
+    a, b = ngram_join.shingle_sets(*text_buffer(pa.array([one, two])))
+    assert a.tolist() != b.tolist()
+
+
+def test_range_hashes_follow_content_alone():
+    data = np.frombuffer(b"abcabcabcdefghijklmnabcdefghijklmn" * 2, np.uint8)
+    spans = [(i, j) for i in range(len(data)) for j in range(i, len(data) + 1)]
+    hashes = words.range_hashes(data, *map(np.array, zip(*spans, strict=True))).tolist()
+    by = {}
+    for (i, j), h in zip(spans, hashes, strict=True):
+        by.setdefault(bytes(data[i:j]), set()).add(h)
+    assert all(len(v) == 1 for v in by.values()) and len(set().union(*by.values())) == len(by)
+
+
+@pytest.mark.parametrize("bound", [1 << 18, 0])
+def test_lines_count_documents_not_rows(spark, bound):
+    own = lambda i: " ".join(f"w{chr(97 + i % 26)}{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(30))
+    rows = [(1, "copied line here\n" + own(1), "s")] * 25 + [(100 + i, f"often seen line\n{own(i)}", None) for i in range(21)] + [(None, f"no id at all\n{own(i)}", "t") for i in range(21)]
+    rows += [(300 + i, f"often seen line\n{own(i)}", "u") for i in range(20)]
+    out = quality_rules.clean_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"), broadcast_lines=bound).collect()
+    cut = Counter((x.doc_id, x.n_cut_lines) for x in out)
+    assert cut[1, 0] == 25 and cut[None, 1] == 21 and all(cut[100 + i, 1] == 1 for i in range(21)) and all(cut[300 + i, 0] == 1 for i in range(20))
+    assert all(x.text == own((x.doc_id or 0) - 100) for x in out if x.doc_id and 100 <= x.doc_id < 300)
+
+
+def test_a_line_is_judged_alike_on_a_large_host(spark):
+    rows = spark.range(6000).selectExpr("id AS doc_id", "concat(CASE WHEN id % 200 = 0 THEN 'a line on thirty documents\n' ELSE '' END, 'own ', translate(id, '0123456789', 'abcdefghij')) AS text", "'hot' AS source")
+    out = quality_rules.line_frequency(rows).groupBy("n_cut_lines").count().collect()
+    assert {x.n_cut_lines: x["count"] for x in out} == {0: 5970, 1: 30}
+
+
 def test_frequent_lines_leave_the_text(spark):
     shapes = ["{c}\nown {i}", "own {i}\n{c}", "own {i}\n\n{c}\n", "{c}", "{c}\n{C}\nb {i}\n {c} ", "own {i}"]
     letters = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
