@@ -291,6 +291,53 @@ def test_links_carry_trust_and_distrust(spark):
     assert (out[6].host, out[7].path, out[6].verdict) == ("", "", "allow") and out[10].rule is None
 
 
+def scores_by_hand(links, weights):
+    """Plain PageRank of one walk: links {(src, dst): n}, weights {host: what it restarts with}."""
+    total = Counter()
+    for (a, _), n in links.items():
+        total[a] += n
+    score = dict(weights)
+    for _ in range(url_filters.ROUNDS):
+        new = Counter({h: 0.15 * w for h, w in weights.items()})
+        for (a, b), n in links.items():
+            new[b] += 0.85 * score.get(a, 0.0) * n / total[a]
+        score = new
+    return score
+
+
+def test_scores_equal_plain_pagerank(spark):
+    r = random.Random(2)
+    hosts = [f"h{i}.org" for i in range(20)] + [f"g{i}.com" for i in range(6)] + [f"b{i}.net" for i in range(6)]
+    pages, links = [], Counter()
+    for k in range(150):
+        a, to = r.choice(hosts), [r.choice(hosts) for _ in range(r.randint(0, 5))]
+        pages.append((k, f"http://{a}/{r.choice(['es/', 'fr/', 'x/'])}{k}", "".join(f"<a rel=x href='//{b}/y'>" for b in to)))
+        links.update((a, b) for b in to if b != a)
+    out = url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    ruled = {}
+    for x in out:
+        if x.rule:
+            ruled.setdefault(x.host, []).append(x.verdict == "allow")
+    allowed = {h: sum(v) / len(v) for h, v in ruled.items()}
+    trust = scores_by_hand(links, {h: w for h, w in allowed.items() if w})
+    distrust = scores_by_hand({(b, a): n for (a, b), n in links.items()}, {h: 1 - w for h, w in allowed.items() if w < 1})
+    for x in out:
+        t, d = trust.get(x.host, 0), distrust.get(x.host, 0)
+        assert x.trust == pytest.approx(t, abs=1e-8) and x.distrust == pytest.approx(d, abs=1e-8)
+        if not x.rule:
+            assert x.verdict == ("block" if d >= url_filters.FLOOR and d > 2 * t else "allow")
+    assert {x.verdict for x in out if not x.rule} == {"allow", "block"}
+
+
+@pytest.mark.parametrize("n", [20, 20_000])
+def test_a_verdict_does_not_depend_on_the_size_of_the_table(spark, n):
+    feeds = spark.range(n).selectExpr("id AS page_id", "concat('http://feed', id, '.org/') AS url", "concat('<a href=http://bad', id, '.net/es/>') AS html")
+    bad = spark.range(n).selectExpr("id + 1000000 AS page_id", "concat('http://bad', id, '.net/es/') AS url", "'' AS html")
+    more = spark.range(50 * n).selectExpr("id + 2000000 AS page_id", "'http://hot.net/fr/x' AS url", "'' AS html")
+    out = url_filters.filter_urls(feeds.union(bad).union(more)).where("host LIKE 'feed%'").groupBy("verdict", "distrust").count().collect()
+    assert [(x.verdict, x["count"]) for x in out] == [("block", n)]
+
+
 def test_layout():
     html = "<title>T</title><p>One<p>Two  <i>x</i><br>three<ul><li>a<li>b<ol start=3><li>x</ol></ul><table><tr><th>Name<th>N<tr><td>Al<td>1<tr><td>Barbara<td>22</table>end<div hidden>no</div><p style='Display : none'>no</p><script>if(a<b)</script>&copy; 3 < 4<!-- c --><dl><dt>t<dd>d</dl><a \""
     assert html_text.extract(html) == "One\n\nTwo x\nthree\n\n- a\n- b\n  3. x\n\nName     N\nAl       1\nBarbara  22\n\nend© 3 < 4\n\nt\n  d"
