@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import drop, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,9 @@ def components(edges: DataFrame) -> DataFrame:
         above = labels.select(F.col("node").alias("label"), F.col("label").alias("over"))
         moved = near.join(above, "label").select("node", F.least("label", "over").alias("label"), (F.least("label", "over") != F.col("old")).alias("moved"))
         moved = stored(moved, "labels")
+        drop(labels)
         labels = moved.select("node", "label")
+        labels._roundel_path = moved._roundel_path
         if moved.where("moved").isEmpty():
+            drop(both)
             return labels

@@ -2,13 +2,16 @@
 
 A document's set is its distinct 5-word shingles. Equal sets are one class, so copies cost one row.
 Classes meet in buckets: 28 keys of two minimum hashes each, which two sets of Jaccard 0.75 all miss
-with a probability below 1e-10 (0.4375**28). Inside a bucket a signature tree (signature_tree.py)
-finds the links by exact comparison of whole sets and emits a spanning forest, never all pairs.
-
-Buckets come in two rounds, and buckets with the same members count once. What the first four keys
-have linked is one component in the second round; a bucket inside one component holds nothing new.
-A bucket of more than BLOCK classes is cut into blocks: each by itself, then neighbouring blocks, then
-every pair of blocks that can still join two components. No bucket, candidate or partner is dropped.
+with a probability below 1e-10 (0.4375**28). A bucket is a forest of signature trees (signature_tree.py):
+it is cut into blocks, each a tree of at most BLOCK classes and BLOCK_TOKENS tokens, ordered by size and
+a further minimum hash, so that alike sets stand in one block and a hot bucket spreads over many tasks.
+A tree finds the links inside its block by exact comparison of whole sets and emits a spanning forest,
+never all pairs, and its root: OR bitmap, size range, tokens that share a bit. Roots of one bucket are
+held against each other before any set moves; only blocks that can still hold a link between two
+components are compared, by the dual traversal of their trees. No bucket, candidate or partner is dropped.
+
+Buckets come in two rounds, and buckets with the same members count once. What the first keys have
+linked is one component in the second round; a bucket inside one component holds nothing new.
 """
 
 from __future__ import annotations
@@ -18,21 +21,22 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import frees, read, slices, stored, text_buffer
+from .common import drop, frees, read, slices, stored, text_buffer
 from .components import components
 from .signature_tree import Block
 
 SHINGLE, PERCENT = 5, 75
 BANDS, FIRST = 28, 4
-BLOCK = 4096  # classes that one task compares at once
+BLOCK, BLOCK_TOKENS = 1024, 4 << 20  # classes, and tokens of 8 bytes, that one tree holds; one larger set is a block of its own
 CELLS = 1 << 20  # of the filter that is broadcast: 8 MB of longs at most, whatever the input
 STEP = 1 << 16
 A = W.mixed(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * W.BASE) | np.uint64(1)
 B = W.mixed(A)
+EDGES = "a long, b long, grp string, low long, high long, lost long, bits array<long>"
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -67,137 +71,204 @@ def _class(tokens: np.ndarray) -> bytes:
     return blake2b(tokens.tobytes(), digest_size=16).digest()
 
 
-def packed(tokens: np.ndarray) -> bytes:
-    """The top 40 bits of each token, in 5 bytes: enough to compare two sets, whose chance of one false common token is |x| * |y| / 2**40."""
-    return np.ascontiguousarray((tokens >> np.uint64(24)).view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
-    return out.view(np.uint64).ravel()
-
-
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(*text_buffer(batch.column("text")))
         keys = [band_keys(s) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "n", "c", "keys"],
+            [batch.column("doc_id"), batch.column("at"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+            names=["doc_id", "at", "n", "c", "keys"],
         )
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of the texts whose set is the one that is asked for."""
+    """Sets of the texts whose set is the one that is asked for, each class once a task."""
+    seen: set[int] = set()
     for batch in slices(batches, "text"):
-        found = [(c, packed(s)) for c, s in zip(batch.column("c").to_pylist(), shingle_sets(*text_buffer(batch.column("text"))), strict=True) if len(s) and _class(s) == c]
+        ids, names = batch.column("id").to_pylist(), batch.column("c").to_pylist()
+        new = [k for k, i in enumerate(ids) if i not in seen]
+        if not new:
+            continue
+        found = []
+        for k, s in zip(new, shingle_sets(*text_buffer(batch.column("text").take(pa.array(new)))), strict=True):
+            if ids[k] not in seen and len(s) and _class(s) == names[k]:
+                found.append((ids[k], s.tobytes()))
+                seen.add(ids[k])
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in found], pa.binary()), pa.array([s for _, s in found], pa.binary())], names=["c", "tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], names=["id", "tokens"])
+
+
+def _blocks(block: int, tokens: int):
+    """Sorted rows of buckets with the number of the block they fall into."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, number, rows, size = None, -1, 0, 0
+        for batch in batches:
+            out = []
+            for k, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                if k != key or rows == block or size + n > tokens:
+                    key, number, rows, size = k, number + 1, 0, 0
+                rows, size = rows + 1, size + n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "part")), pa.array(out, pa.int64())], names=["key", "id", "part", "number"])
+
+    return run
 
 
 def _link(percent: int):
+    """Links inside each group, and the root of each group that is a block of a larger bucket."""
+    names = ["a", "b", "grp", "low", "high", "lost", "bits"]
+    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.list_(pa.int64())]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, edges = None, {}, []
+        key, group, out = None, {}, []
 
         def close() -> None:
-            if len(group) > 1:
-                names, rows = list(group), list(group.values())
-                sides = [r[2] for r in rows]
-                block = Block([r[0] for r in rows], percent, [r[1] for r in rows], sides if sides[0] is not None else None)
-                edges.extend((names[i], names[j]) for i, j in block.forest())
+            if not group:
+                return
+            ids, rows = list(group), list(group.values())
+            rooted, sides = rows[0][3], [r[2] for r in rows]
+            tree = Block([r[0] for r in rows], percent, [r[1] for r in rows], sides if sides[0] is not None else None)
+            if len(ids) > 1:
+                out.extend((ids[i], ids[j], *[None] * 5) for i, j in tree.forest())
+            if rooted:
+                low, high, lost, bits = tree.root()
+                out.append((None, None, key, low, high, lost, bits.view(np.int64).tolist()))
 
         for batch in batches:
-            for k, c, label, side, tokens in zip(*(batch.column(x).to_pylist() for x in ("group", "c", "label", "side", "tokens")), strict=True):
+            for k, i, label, side, rooted, tokens in zip(*(batch.column(x).to_pylist() for x in ("grp", "id", "label", "side", "rooted", "tokens")), strict=True):
                 if k != key:
                     close()
                     key = k
                     group.clear()
-                group[c] = (unpacked(tokens), label, side)
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.binary()), pa.array([b for _, b in edges], pa.binary())], names=["a", "b"])
-                edges.clear()
+                group[i] = (np.frombuffer(tokens, np.uint64), label, side, rooted)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+                out.clear()
         close()
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.binary()), pa.array([b for _, b in edges], pa.binary())], names=["a", "b"])
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
     return run
 
 
+def _fits(low: Column, high: Column, percent: int) -> Column:
+    return 100 * low >= percent * high
+
+
 class _Join:
-    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, block: int):
-        self.docs, self.classes, self.percent, self.block = docs, classes, percent, block
+    def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, block: int, tokens: int):
+        self.docs, self.classes, self.percent, self.block, self.tokens = docs, classes, percent, block, tokens
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
-    def labelled(self) -> DataFrame:
-        """The classes with the component that is known so far."""
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """rows with the component that is known so far of the class `id`."""
         if self.labels is None:
-            return self.classes.withColumn("label", F.col("c"))
-        known = self.labels.select(F.col("node").alias("c"), F.col("label").alias("known"))
-        return self.classes.join(known, "c", "left").withColumn("label", F.coalesce("known", "c")).drop("known")
+            return rows.withColumn("label", F.col("id"))
+        known = self.labels.select(F.col("node").alias("id"), F.col("label").alias("known"))
+        return rows.join(known, "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
 
-    def link(self, rows: DataFrame) -> None:
-        """Compare the classes of each group: rows (group, c, label, side)."""
-        need = stored(rows.select("c").distinct().join(self.classes.select("c", "rep"), "c"), "wanted")
+    def sets_of(self, ids: DataFrame) -> DataFrame:
+        need = stored(ids.distinct().join(self.classes.select("id", "c", F.col("at").alias("where")), "id"), "wanted")
         cell = lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS))
-        cells = need.select(cell("rep").alias("cell")).distinct()  # CELLS rows at most
-        near = self.docs.where("doc_id IS NOT NULL").join(F.broadcast(cells), cell(F.col("doc_id")) == F.col("cell"), "left_semi")
-        sets = stored(near.join(need, F.col("doc_id") == F.col("rep")).select("c", "text").mapInArrow(frees(_sets), "c binary, tokens binary"), "sets")
-        full = rows.join(sets, "c").repartition("group").sortWithinPartitions("group")
-        found = stored(full.select("group", "c", "label", "side", "tokens").mapInArrow(frees(_link(self.percent)), "a binary, b binary"), "links")
-        self.edges = found if self.edges is None else stored(self.edges.union(found), "links")
-        self.labels = components(self.edges)
+        cells = need.select(cell("where").alias("cell")).distinct()  # CELLS rows at most
+        near = self.docs.join(F.broadcast(cells), cell(F.col("at")) == F.col("cell"), "left_semi")
+        sets = stored(near.join(need, F.col("at") == F.col("where")).select("id", "c", "text").mapInArrow(frees(_sets), "id long, tokens binary"), "sets")
+        drop(need)
+        return sets
+
+    def link(self, rows: DataFrame) -> DataFrame:
+        """Compare the classes of each group, rows (grp, id, label, side, rooted), and return the roots."""
+        sets = self.sets_of(rows.select("id"))
+        full = rows.join(sets, "id").repartition("grp").sortWithinPartitions("grp")
+        found = stored(full.select("grp", "id", "label", "side", "rooted", "tokens").mapInArrow(frees(_link(self.percent)), EDGES), "links")
+        drop(sets)
+        links = found.where("a IS NOT NULL").select("a", "b")
+        both = stored(links if self.edges is None else self.edges.union(links), "links")
+        drop(self.edges, self.labels)
+        self.edges = both
+        self.labels = components(both)
+        return found
 
     def round(self, first: int, last: int) -> None:
-        rows = self.labelled().select("c", "n", "label", F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
-        p = self.percent
-        shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("c")).alias("h1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("h2"), F.min("n").alias("low"), F.max("n").alias("high"), (F.min("label") != F.max("label")).alias("open"))
-        shared = shared.where(f"members > 1 AND open AND (members > 2 OR 100 * low >= {p} * high)")
-        once = shared.groupBy("members", "h1", "h2").agg(F.min("key").alias("key"))
-        blocks = F.ceil(F.col("members") / self.block)
-        active = rows.join(once.select("key", blocks.alias("blocks")), "key").withColumn("block", F.pmod(F.xxhash64("c", F.lit(7)), F.col("blocks")))
-        active = stored(active.select("key", "c", "blocks", "block", "label"), "buckets")
-        none = F.lit(None).cast("int")
-        self.link(active.select(F.concat_ws(":", "key", "block").alias("group"), "c", "label", none.alias("side")))
-        large = active.where("blocks > 1")
-        if not large.isEmpty():
-            self.across(large, "AND y.block = x.block + 1")
-            self.across(large, "")
-
-    def across(self, rows: DataFrame, which: str) -> None:
-        """Compare blocks of one bucket with each other, where they can still join two components."""
-        rows = stored(rows.drop("label").join(self.labelled().select("c", "n", "label"), "c"), "blocks")
-        blocks = rows.groupBy("key", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"), F.min("n").alias("low"), F.max("n").alias("high"))
+        p, none = self.percent, F.lit(None).cast("int")
+        further = F.get("keys", F.lit(last % BANDS))  # of another band: alike sets mostly share it
+        rows = self.labelled(self.classes.select("id", "n", "keys")).select("id", "n", "label", further.alias("part"), F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
+        shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.bit_xor(F.xxhash64("id")).alias("h"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+        shared = shared.where((F.col("members") > 1) & (F.col("l0") != F.col("l1")) & ((F.col("members") > 2) | _fits(F.col("low"), F.col("high"), p)))
+        once = shared.groupBy("members", "tokens", "h", "low", "high").agg(F.min("key").alias("key"))  # the same members
+        large = (F.col("members") > self.block) | (F.col("tokens") > self.tokens)
+        active = stored(rows.join(once.select("key", large.alias("large")), "key"), "buckets")
+        small = active.where("NOT large").select(F.col("key").cast("string").alias("grp"), "id", "label", none.alias("side"), F.lit(False).alias("rooted"))
+        if active.where("large").isEmpty():
+            drop(self.link(small), active)
+            return
+        hot = active.where("large").select("key", "id", "n", "part").repartitionByRange("key", "n", "part", "id").sortWithinPartitions("key", "n", "part", "id")
+        placed = hot.select("key", "id", "n", F.spark_partition_id().alias("part")).mapInArrow(_blocks(self.block, self.tokens), "key long, id long, part int, number long")
+        placed = stored(placed.select("key", "id", F.concat_ws(".", "part", "number").alias("block")), "blocks")
+        of = F.concat_ws(":", F.col("key").cast("string"), "block")
+        blocks = self.labelled(placed).select(of.alias("grp"), "id", "label", none.alias("side"), F.lit(True).alias("rooted"))
+        found = self.link(small.unionByName(blocks))
+        roots = found.where("grp IS NOT NULL").select(F.split("grp", ":")[0].cast("long").alias("key"), F.split("grp", ":")[1].alias("block"), "low", "high", "lost", "bits")
+        self.across(placed, roots)
+        drop(found, placed, active)
+
+    def across(self, placed: DataFrame, roots: DataFrame) -> None:
+        """Compare blocks of one bucket whose roots can share a link between two components: a chain of them first, which mostly joins what is one component."""
         p = self.percent
-        pairs = blocks.alias("x").join(blocks.alias("y"), F.expr(f"x.key = y.key AND x.block < y.block {which} AND NOT (x.l0 = x.l1 AND y.l0 = y.l1 AND x.l0 = y.l0) AND 100 * x.high >= {p} * y.low AND 100 * y.high >= {p} * x.low"))
-        pairs = pairs.select(F.col("x.key").alias("key"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-        sides = pairs.select("key", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")).select("key", "i", "j", "s.block", "s.side")
-        if not sides.isEmpty():
-            self.link(rows.join(sides, ["key", "block"]).select(F.concat_ws(":", "key", "i", "j").alias("group"), "c", "label", "side"))
-
-
-def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id.
+        common = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("long"), lambda s, n: s + n)
+        most = F.least(common + F.least("x.lost", "y.lost"), "x.high", "y.high")
+        may = _fits(F.col("x.high"), F.col("y.low"), p) & _fits(F.col("y.high"), F.col("x.low"), p)
+        pairs = roots.alias("x").join(roots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block")) & may)
+        pairs = stored(pairs.where((100 + p) * most >= p * (F.col("x.low") + F.col("y.low"))).select("x.key", F.col("x.block").alias("i"), F.col("y.block").alias("j")), "block-pairs")
+        for chain in (True, False):
+            now = self.labelled(placed).groupBy("key", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+            open_ = pairs
+            for side, b in (("i", "x"), ("j", "y")):
+                open_ = open_.join(now.select("key", F.col("block").alias(side), F.col("l0").alias(f"{b}0"), F.col("l1").alias(f"{b}1")), ["key", side])
+            open_ = open_.where("NOT (x0 = x1 AND y0 = y1 AND x0 = y0)").select("key", "i", "j")
+            if chain:
+                open_ = open_.groupBy("key", "i").agg(F.min("j").alias("j"))
+            sides = stored(open_.select("key", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")).select("key", "i", "j", "s.block", "s.side"), "block-sides")
+            if not sides.isEmpty():
+                rows = self.labelled(placed.join(sides, ["key", "block"]))
+                drop(self.link(rows.select(F.concat_ws(":", F.col("key").cast("string"), "i", "j").alias("grp"), "id", "label", "side", F.lit(False).alias("rooted"))))
+            drop(sides)
+        drop(pairs)
+
+
+def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS, more: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id, n_shingles, component_id; with `more` also row_hash and kept.
 
     Two documents link when 100 * shared >= percent * all of their shingles; component_id is the
     smallest doc_id that links reach. A null text, or one without words, has no shingles and is its
-    own component. Copies and repeated rows share a class. A document with a null doc_id links others
-    only through a copy that has one. An empty table gives an empty result. Other columns are ignored.
+    own component. Copies and repeated rows share a class. A row with a null doc_id is a document like
+    others; a component of such rows alone has a null id. A long text is taken whole, and a set of more
+    than block_tokens shingles is a block of its own. An empty table gives an empty result. Other
+    columns are ignored. row_hash is a hash of the text: with doc_id it tells rows apart. kept is set
+    for the first row of each component, by doc_id (nulls last) and then row_hash, and for rows equal to it.
     """
     if percent < 75:
         raise ValueError("the bucket keys are sized for 75 percent and more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = stored(docs.mapInArrow(frees(_features), "doc_id long, n long, c binary, keys array<long>"), "shingles")
-    classes = features.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    join = _Join(docs, stored(classes, "classes"), percent, block)
+    docs = docs.withColumn("at", F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), "text"))  # a place to find the text again
+    features = stored(docs.mapInArrow(frees(_features), "doc_id long, at long, n long, c binary, keys array<long>"), "shingles")
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
+    classes = features.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), *([F.min(first).alias("first")] if more else []))
+    classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+    join = _Join(docs, classes, percent, block, block_tokens)
     join.round(0, FIRST)
     join.round(FIRST, BANDS)
-    whole = join.labelled().select("c", "rep", "label")
-    lowest = whole.groupBy("label").agg(F.min("rep").alias("component_id"))
-    final = stored(whole.join(lowest, "label").select(F.col("c").alias("of"), "component_id"), "components")
+    whole = join.labelled(classes.select("id", "c", "rep", *(["first"] if more else [])))
+    lowest = whole.groupBy("label").agg(F.min("rep").alias("component_id"), *([F.min("first").alias("best")] if more else []))
+    final = stored(whole.join(lowest, "label").select(F.col("c").alias("of"), "component_id", *(["best"] if more else [])), "components")
+    drop(classes, join.edges, join.labels)
     out = features.join(final, F.col("c") == F.col("of"), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    columns = ["doc_id", F.col("n").alias("n_shingles"), F.when(F.col("c").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")]
+    if more:
+        columns += [F.col("at").alias("row_hash"), (F.col("best").isNull() | (F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.at") == F.col("at")))).alias("kept")]
+    return out.select(*columns)
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

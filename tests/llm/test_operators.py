@@ -199,6 +199,28 @@ def test_repeated_rows_and_null_ids(spark):
     assert [x.component_id for x in out] == [3] * 4
 
 
+def test_rows_without_an_id_link_like_others(spark):
+    base = [f"w{i}" for i in range(60)]
+    near = " ".join([*base[:30], "new", *base[31:]])
+    other = [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(base)), (None, near), (7, " ".join([*base[:58], "x", "y"])), (None, " ".join(other)), (None, " ".join([*other[:59], "z"])), (None, None), (None, "")]
+    out = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), more=True).collect()
+    assert sorted((x.n_shingles, x.component_id or 0, x.kept) for x in out) == [(0, 0, True), (0, 0, True), (56, 0, False), (56, 0, True), (56, 1, False), (56, 1, False), (56, 1, True)]
+
+
+def test_a_hot_bucket_of_different_texts_and_long_texts(spark):
+    """Many texts around one passage, in blocks of few classes and few tokens, against all pairs."""
+    r = random.Random(12)
+    passage = [f"p{i}" for i in range(30)]
+    texts = []
+    for k in range(36):
+        own = [f"o{r.randrange(10**6)}" for _ in range(r.choice([0, 1, 2, 4, 8, 400]))]
+        texts.append(" ".join(passage[: r.randint(26, 30)] + own))
+    for tokens in (1 << 22, 120):
+        out = ngram_join.ngram_components(docs(spark, texts), block=8, block_tokens=tokens)
+        assert sorted(tuple(x) for x in out.collect()) == components_by_hand(texts)
+
+
 def test_tree_finds_what_all_pairs_find():
     r = np.random.default_rng(2)
     base = [r.integers(0, 1 << 60, 80).astype(np.uint64) for _ in range(10)]
