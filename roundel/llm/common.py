@@ -11,7 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step takes at a time; a single longer text is taken alone.
 SLICE_BYTES = 2_000_000
@@ -62,6 +63,11 @@ def unused(columns: list[str], name: str) -> str:
     return name
 
 
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """With doc_id, what tells rows apart: a hash of both, of the text alone without an id."""
+    return F.xxhash64(F.coalesce(doc_id, F.xxhash64(text)), text)
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row, and where each begins and ends. Null is empty."""
     column = pc.fill_null(column.cast(pa.large_string()), "")

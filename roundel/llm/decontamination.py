@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import frees, read, slices
+from .common import frees, read, row_hash, slices
 
 PERCENT = 5
 BLOCK_CHARS = 8_000_000
-SCHEMA = "doc_id long, item_id long, distance int, budget int, stop long"
+SCHEMA = "doc_id long, row_hash long, item_id long, distance int, budget int, stop long"
 
 
 def normal(text: str) -> str:
@@ -116,33 +116,39 @@ def _find(items, percent: int):
             _last[:] = [items.value, percent, Matcher(items.value, percent)]
         matcher = _last[2]
         for batch in slices(batches, "text"):
-            rows = [(doc, *hit) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True) if text for hit in matcher.find(text)]
-            if rows:
-                columns = list(zip(*rows, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True)], names=["doc_id", "item_id", "distance", "budget", "stop"])
+            hits = [(k, *hit) for k, text in enumerate(batch.column("text").to_pylist()) if text for hit in matcher.find(text)]
+            if hits:
+                at, *columns = zip(*hits, strict=True)
+                rows = [batch.column(c).take(pa.array(at)) for c in ("doc_id", "row_hash")]
+                yield pa.RecordBatch.from_arrays([*rows, *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int32(), pa.int64()), strict=True))], names=["doc_id", "row_hash", "item_id", "distance", "budget", "stop"])
 
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """(doc_id, item_id, distance, budget, stop) for every item that a document holds within its budget.
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", percent: int = PERCENT, least: int = 1, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """(doc_id, row_hash, item_id, distance, budget, stop) for every item that a document holds within its budget.
 
     distance is the smallest of all places, stop the end of the first such place in the normalised
-    text. Null or empty texts and items match nothing. Repeated documents each give their rows,
-    repeated items too. An empty table on either side gives an empty result. Other columns are ignored.
+    text. Null or empty texts and items match nothing. An item matches inside words too, and so does a
+    very short one: items of less than `least` normalised characters are left out. Long texts are
+    searched whole. Repeated documents each give their rows, repeated items too; row_hash tells rows of
+    one doc_id apart by their texts. An empty table on either side gives an empty result. Other columns
+    are ignored, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    docs = docs.withColumn("row_hash", row_hash(F.col("doc_id"), F.col("text")))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).cast("string").alias("text")).where("length(text) > 0")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_chars))
     out = None
     for b in range(blocks):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()]
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        part = [(r.item_id, r.text) for r in rows if len(normal(r.text)) >= least]
         found = docs.mapInArrow(frees(_find(spark.sparkContext.broadcast(part), percent)), SCHEMA)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("row_hash")

@@ -2,13 +2,14 @@
 
 A document's set is its distinct 5-word shingles. Equal sets are one class, so copies cost one row.
 Classes meet in buckets: 28 keys of two minimum hashes each, which two sets of Jaccard 0.75 all miss
-with a probability below 1e-10 (0.4375**28). A bucket is a forest of signature trees (signature_tree.py):
-it is cut into blocks, each a tree of at most BLOCK classes and BLOCK_TOKENS tokens, ordered by size and
-a further minimum hash, so that alike sets stand in one block and a hot bucket spreads over many tasks.
-A tree finds the links inside its block by exact comparison of whole sets and emits a spanning forest,
-never all pairs, and its root: OR bitmap, size range, tokens that share a bit. Roots of one bucket are
-held against each other before any set moves; only blocks that can still hold a link between two
-components are compared, by the dual traversal of their trees. No bucket, candidate or partner is dropped.
+with a probability below 1e-10 (0.4375**28). A bucket is cut into blocks of at most BLOCK classes and
+BLOCK_TOKENS tokens, ordered by size and a further minimum hash, so that alike sets stand in one block
+and a hot bucket spreads over many tasks; two blocks are compared only where their size ranges allow a
+link and they are not one component yet. Before whole sets move, sketches do: 16 bits of each of the 56
+minimum hashes. A class goes on only if it agrees with another one of its group in LEAST of them, which
+a pair of Jaccard 0.75 misses with a probability below 1e-11. Then each group is a signature tree
+(signature_tree.py), which finds the links by exact comparison of whole sets of 64-bit hashes and emits
+a spanning forest, never all pairs. No bucket, candidate or partner is dropped.
 
 Buckets come in two rounds, and buckets with the same members count once. What the first keys have
 linked is one component in the second round; a bucket inside one component holds nothing new.
@@ -25,18 +26,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .common import drop, frees, read, slices, stored, text_buffer
+from .common import drop, frees, read, row_hash, slices, stored, text_buffer
 from .components import components
 from .signature_tree import Block
 
 SHINGLE, PERCENT = 5, 75
 BANDS, FIRST = 28, 4
-BLOCK, BLOCK_TOKENS = 1024, 4 << 20  # classes, and tokens of 8 bytes, that one tree holds; one larger set is a block of its own
+LEAST = 18  # of the 2 * BANDS minimum hashes that a link's sets have in common
+BLOCK, BLOCK_TOKENS = 2048, 4 << 20  # classes, and tokens of 8 bytes, that one tree holds; one larger set is a block of its own
+CHAIN = 4  # a bucket of more blocks is compared along a chain of them first
 CELLS = 1 << 20  # of the filter that is broadcast: 8 MB of longs at most, whatever the input
 STEP = 1 << 16
 A = W.mixed(np.arange(1, 2 * BANDS + 1, dtype=np.uint64) * W.BASE) | np.uint64(1)
 B = W.mixed(A)
-EDGES = "a long, b long, grp string, low long, high long, lost long, bits array<long>"
 
 
 def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -58,13 +60,13 @@ def shingle_sets(buf: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> l
     return out
 
 
-def band_keys(tokens: np.ndarray) -> np.ndarray:
-    """A hash of two minimum hashes for each band."""
+def band_keys(tokens: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """A hash of two minimum hashes for each band, and the low 16 bits of all minimum hashes."""
     low = np.full(2 * BANDS, np.iinfo(np.uint64).max, np.uint64)
     for k in range(0, len(tokens), STEP):
         np.minimum(low, ((tokens[k : k + STEP] ^ B[:, None]) * A[:, None]).min(axis=1), out=low)
     pair = low.reshape(BANDS, 2)
-    return W.mixed(pair[:, 0] + W.mixed(pair[:, 1]) + A[:BANDS]).view(np.int64)
+    return W.mixed(pair[:, 0] + W.mixed(pair[:, 1]) + A[:BANDS]).view(np.int64), (low >> np.uint64(16)).astype("<u2").tobytes()
 
 
 def _class(tokens: np.ndarray) -> bytes:
@@ -74,10 +76,10 @@ def _class(tokens: np.ndarray) -> bytes:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         sets = shingle_sets(*text_buffer(batch.column("text")))
-        keys = [band_keys(s) if len(s) else None for s in sets]
+        keys, sketches = zip(*(band_keys(s) if len(s) else (None, None) for s in sets), strict=True)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("at"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-            names=["doc_id", "at", "n", "c", "keys"],
+            [batch.column("doc_id"), batch.column("at"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class(s) if len(s) else None for s in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())],
+            names=["doc_id", "at", "n", "c", "keys", "sketch"],
         )
 
 
@@ -110,44 +112,58 @@ def _blocks(block: int, tokens: int):
                     key, number, rows, size = k, number + 1, 0, 0
                 rows, size = rows + 1, size + n
                 out.append(number)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "part")), pa.array(out, pa.int64())], names=["key", "id", "part", "number"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "n", "part")), pa.array(out, pa.int64())], names=["key", "id", "n", "part", "number"])
 
     return run
 
 
+def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[str, list[int], list[int], list[int | None], list[bytes]]]:
+    """Sorted rows by group: its name, and for each class once its id, label, side and value."""
+    key, group = None, {}
+    for batch in batches:
+        for k, i, label, side, x in zip(*(batch.column(c).to_pylist() for c in ("grp", "id", "label", "side", value)), strict=True):
+            if k != key:
+                if group:
+                    yield key, [*group], *map(list, zip(*group.values(), strict=True))
+                key, group = k, {}
+            group[i] = (label, side, x)
+    if group:
+        yield key, [*group], *map(list, zip(*group.values(), strict=True))
+
+
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Classes whose sketch agrees with that of another component (and the other side) of their group."""
+    out: list[tuple] = []
+
+    def batch() -> pa.RecordBatch:
+        columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int32()), strict=True)]
+        out.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["grp", "id", "label", "side"])
+
+    for key, ids, labels, sides, sketches in _groups(batches, "sketch"):
+        low = np.frombuffer(b"".join(sketches), "<u2").reshape(len(ids), -1)
+        label, side = np.array(labels), np.array(sides) if sides[0] is not None else None
+        for a in range(0, len(ids), 64):
+            near = (low[a : a + 64, None] == low).sum(axis=2) >= LEAST
+            near &= label[a : a + 64, None] != label
+            if side is not None:
+                near &= side[a : a + 64, None] != side
+            out += [(key, ids[k], labels[k], sides[k]) for k in (a + np.flatnonzero(near.any(axis=1))).tolist()]
+        if len(out) > 4096:
+            yield batch()
+    if out:
+        yield batch()
+
+
 def _link(percent: int):
-    """Links inside each group, and the root of each group that is a block of a larger bucket."""
-    names = ["a", "b", "grp", "low", "high", "lost", "bits"]
-    types = [pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * 3, pa.list_(pa.int64())]
+    """A spanning forest of the links inside each group."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, out = None, {}, []
-
-        def close() -> None:
-            if not group:
-                return
-            ids, rows = list(group), list(group.values())
-            rooted, sides = rows[0][3], [r[2] for r in rows]
-            tree = Block([r[0] for r in rows], percent, [r[1] for r in rows], sides if sides[0] is not None else None)
-            if len(ids) > 1:
-                out.extend((ids[i], ids[j], *[None] * 5) for i, j in tree.forest())
-            if rooted:
-                low, high, lost, bits = tree.root()
-                out.append((None, None, key, low, high, lost, bits.view(np.int64).tolist()))
-
-        for batch in batches:
-            for k, i, label, side, rooted, tokens in zip(*(batch.column(x).to_pylist() for x in ("grp", "id", "label", "side", "rooted", "tokens")), strict=True):
-                if k != key:
-                    close()
-                    key = k
-                    group.clear()
-                group[i] = (np.frombuffer(tokens, np.uint64), label, side, rooted)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
-                out.clear()
-        close()
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
+        for _, ids, labels, sides, tokens in _groups(batches, "tokens"):
+            sets = [np.frombuffer(t, np.uint64) for t in tokens]
+            edges = Block(sets, percent, labels, sides if sides[0] is not None else None).forest() if len(ids) > 1 else ()
+            if edges:
+                yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i, _ in edges], pa.int64()), pa.array([ids[j] for _, j in edges], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -178,18 +194,22 @@ class _Join:
         drop(need)
         return sets
 
-    def link(self, rows: DataFrame) -> DataFrame:
-        """Compare the classes of each group, rows (grp, id, label, side, rooted), and return the roots."""
-        sets = self.sets_of(rows.select("id"))
-        full = rows.join(sets, "id").repartition("grp").sortWithinPartitions("grp")
-        found = stored(full.select("grp", "id", "label", "side", "rooted", "tokens").mapInArrow(frees(_link(self.percent)), EDGES), "links")
-        drop(sets)
-        links = found.where("a IS NOT NULL").select("a", "b")
-        both = stored(links if self.edges is None else self.edges.union(links), "links")
-        drop(self.edges, self.labels)
-        self.edges = both
-        self.labels = components(both)
-        return found
+    def link(self, rows: DataFrame) -> None:
+        """Compare the classes of each group: rows (grp, id, label, side)."""
+        sketched = rows.join(self.classes.select("id", "sketch"), "id").repartition("grp").sortWithinPartitions("grp")
+        near = stored(sketched.select("grp", "id", "label", "side", "sketch").mapInArrow(frees(_sift), "grp string, id long, label long, side int"), "near")
+        sets = self.sets_of(near.select("id"))
+        full = near.join(sets, "id").repartition("grp").sortWithinPartitions("grp")
+        found = stored(full.select("grp", "id", "label", "side", "tokens").mapInArrow(frees(_link(self.percent)), "a long, b long"), "links")
+        drop(sets, near)
+        if found.isEmpty():
+            drop(found)
+            return
+        both = found if self.edges is None else stored(self.edges.union(found), "links")
+        if both is not found:
+            drop(self.edges, found)
+        drop(self.labels)
+        self.edges, self.labels = both, components(both)
 
     def round(self, first: int, last: int) -> None:
         p, none = self.percent, F.lit(None).cast("int")
@@ -200,42 +220,36 @@ class _Join:
         once = shared.groupBy("members", "tokens", "h", "low", "high").agg(F.min("key").alias("key"))  # the same members
         large = (F.col("members") > self.block) | (F.col("tokens") > self.tokens)
         active = stored(rows.join(once.select("key", large.alias("large")), "key"), "buckets")
-        small = active.where("NOT large").select(F.col("key").cast("string").alias("grp"), "id", "label", none.alias("side"), F.lit(False).alias("rooted"))
+        small = active.where("NOT large").select(F.col("key").cast("string").alias("grp"), "id", "label", none.alias("side"))
         if active.where("large").isEmpty():
-            drop(self.link(small), active)
+            self.link(small)
+            drop(active)
             return
         hot = active.where("large").select("key", "id", "n", "part").repartitionByRange("key", "n", "part", "id").sortWithinPartitions("key", "n", "part", "id")
-        placed = hot.select("key", "id", "n", F.spark_partition_id().alias("part")).mapInArrow(_blocks(self.block, self.tokens), "key long, id long, part int, number long")
-        placed = stored(placed.select("key", "id", F.concat_ws(".", "part", "number").alias("block")), "blocks")
-        of = F.concat_ws(":", F.col("key").cast("string"), "block")
-        blocks = self.labelled(placed).select(of.alias("grp"), "id", "label", none.alias("side"), F.lit(True).alias("rooted"))
-        found = self.link(small.unionByName(blocks))
-        roots = found.where("grp IS NOT NULL").select(F.split("grp", ":")[0].cast("long").alias("key"), F.split("grp", ":")[1].alias("block"), "low", "high", "lost", "bits")
-        self.across(placed, roots)
-        drop(found, placed, active)
-
-    def across(self, placed: DataFrame, roots: DataFrame) -> None:
-        """Compare blocks of one bucket whose roots can share a link between two components: a chain of them first, which mostly joins what is one component."""
-        p = self.percent
-        common = F.aggregate(F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseAND(b))), F.lit(0).cast("long"), lambda s, n: s + n)
-        most = F.least(common + F.least("x.lost", "y.lost"), "x.high", "y.high")
-        may = _fits(F.col("x.high"), F.col("y.low"), p) & _fits(F.col("y.high"), F.col("x.low"), p)
-        pairs = roots.alias("x").join(roots.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block")) & may)
-        pairs = stored(pairs.where((100 + p) * most >= p * (F.col("x.low") + F.col("y.low"))).select("x.key", F.col("x.block").alias("i"), F.col("y.block").alias("j")), "block-pairs")
-        for chain in (True, False):
-            now = self.labelled(placed).groupBy("key", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
-            open_ = pairs
-            for side, b in (("i", "x"), ("j", "y")):
-                open_ = open_.join(now.select("key", F.col("block").alias(side), F.col("l0").alias(f"{b}0"), F.col("l1").alias(f"{b}1")), ["key", side])
-            open_ = open_.where("NOT (x0 = x1 AND y0 = y1 AND x0 = y0)").select("key", "i", "j")
+        placed = hot.select("key", "id", "n", F.spark_partition_id().alias("part")).mapInArrow(_blocks(self.block, self.tokens), "key long, id long, n long, part int, number long")
+        placed = stored(placed.select("key", "id", "n", F.concat_ws(".", "part", "number").alias("block")), "blocks")
+        blocks = self.labelled(placed).select(F.concat_ws(":", F.col("key").cast("string"), "block").alias("grp"), "id", "label", none.alias("side"))
+        self.link(small.unionByName(blocks))
+        self.across(placed)
+        drop(placed, active)
+
+    def across(self, placed: DataFrame) -> None:
+        """Compare blocks of one bucket whose size ranges allow a link between two components: where there are many, a chain of them first, which mostly joins what is one component."""
+        many = placed.groupBy("key").agg(F.countDistinct("block").alias("n")).agg(F.max("n")).first()[0]
+        for chain in (True, False) if many > CHAIN else (False,):
+            now = self.labelled(placed).groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l0"), F.max("label").alias("l1"))
+            x, y = now.alias("x"), now.alias("y")
+            may = _fits(F.col("x.high"), F.col("y.low"), self.percent) & _fits(F.col("y.high"), F.col("x.low"), self.percent)
+            pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.block") < F.col("y.block")) & may & F.expr("NOT (x.l0 = x.l1 AND y.l0 = y.l1 AND x.l0 = y.l0)"))
+            pairs = pairs.select("x.key", F.col("x.block").alias("i"), F.col("y.block").alias("j"))
             if chain:
-                open_ = open_.groupBy("key", "i").agg(F.min("j").alias("j"))
-            sides = stored(open_.select("key", "i", "j", F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")).select("key", "i", "j", "s.block", "s.side"), "block-sides")
+                pairs = pairs.groupBy("key", "i").agg(F.min("j").alias("j"))
+            sides = F.explode(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side")))).alias("s")
+            sides = stored(pairs.select("key", "i", "j", sides).select("key", "i", "j", "s.block", "s.side"), "block-sides")
             if not sides.isEmpty():
                 rows = self.labelled(placed.join(sides, ["key", "block"]))
-                drop(self.link(rows.select(F.concat_ws(":", F.col("key").cast("string"), "i", "j").alias("grp"), "id", "label", "side", F.lit(False).alias("rooted"))))
+                self.link(rows.select(F.concat_ws(":", F.col("key").cast("string"), "i", "j").alias("grp"), "id", "label", "side"))
             drop(sides)
-        drop(pairs)
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, block: int = BLOCK, block_tokens: int = BLOCK_TOKENS, more: bool = False) -> DataFrame:
@@ -252,10 +266,10 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     if percent < 75:
         raise ValueError("the bucket keys are sized for 75 percent and more")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("at", F.xxhash64(F.coalesce("doc_id", F.xxhash64("text")), "text"))  # a place to find the text again
-    features = stored(docs.mapInArrow(frees(_features), "doc_id long, at long, n long, c binary, keys array<long>"), "shingles")
+    docs = docs.withColumn("at", row_hash(F.col("doc_id"), F.col("text")))  # a place to find the text again
+    features = stored(docs.mapInArrow(frees(_features), "doc_id long, at long, n long, c binary, keys array<long>, sketch binary"), "shingles")
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "at")
-    classes = features.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), *([F.min(first).alias("first")] if more else []))
+    classes = features.where("c IS NOT NULL").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("at").alias("at"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), *([F.min(first).alias("first")] if more else []))
     classes = stored(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     join = _Join(docs, classes, percent, block, block_tokens)
     join.round(0, FIRST)

@@ -14,7 +14,6 @@ from __future__ import annotations
 import numpy as np
 
 FAN = 8
-ROOT_BITS = 1 << 15  # of the bitmap that stands for a whole block
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -53,15 +52,6 @@ class Block:
             self.label[self.label == self.label[j]] = self.label[i]
             self.edges.append((self.order[i], self.order[j]))
 
-    def root(self) -> tuple[int, int, int, np.ndarray]:
-        """Smallest and largest size, most tokens of a set that share a bit with another of its own, and the OR bitmap of all sets."""
-        sizes, lost, flags = [len(s) for s in self.sets], 0, np.zeros(ROOT_BITS, bool)
-        for tokens in self.sets:
-            own = np.unique(tokens & np.uint64(ROOT_BITS - 1)).astype(np.int64)
-            lost = max(lost, len(tokens) - len(own))
-            flags[own] = True
-        return min(sizes), max(sizes), lost, np.packbits(flags).view(np.uint64)
-
     def forest(self) -> list[tuple[int, int]]:
         if len(self.sets) == 2:
             self.check(0, 1)
