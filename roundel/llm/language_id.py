@@ -2,9 +2,11 @@
 
 A text is its UTF-8 bytes in windows of WINDOW; a forward and a backward network read each window, and
 their states together label every byte. The text's probabilities are the mean over all its bytes, so
-the whole text counts. Training is by backpropagation through time with Adam, on the driver, on at
-most TRAIN_DOCS labelled documents (those with the smallest hash of their id) and at most
-TRAIN_WINDOWS windows of each. The weights, some 60 KB, are broadcast.
+the whole text counts. Training is by backpropagation through time with Adam, on the driver, on a
+sample of labelled rows: an equal share of TRAIN_DOCS rows and TRAIN_BYTES bytes for each language, in
+the order of a hash of the row, each row with all its windows or not at all; a row that no longer fits
+is passed over. The TRAIN_LANGS languages of most rows are learned. Windows are cut where the rows are,
+and every step draws as many from each language. The weights, some 60 KB, are broadcast.
 """
 
 from __future__ import annotations
@@ -13,13 +15,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import frees, read, slices, text_buffer
 
 WINDOW, HIDDEN, PAD = 64, 8, 256
-TRAIN_DOCS, TRAIN_WINDOWS = 2000, 8
+TRAIN_DOCS, TRAIN_BYTES, TRAIN_LANGS = 2000, 16 << 20, 256
 STEPS, BATCH, RATE = 600, 128, 0.02
 CHUNK = 2048  # windows that are read at once
 UNKNOWN = "und"
@@ -32,7 +34,7 @@ def windows_of(buf: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     """(WINDOW, n) byte values, PAD behind a window's end."""
     at = starts[None, :] + np.arange(WINDOW)[:, None]
     inside = np.arange(WINDOW)[:, None] < lengths[None, :]
-    return np.where(inside, buf[np.minimum(at, max(len(buf) - 1, 0))], PAD).astype(np.int64)
+    return np.where(inside, buf[np.minimum(at, max(len(buf) - 1, 0))].astype(np.int64), PAD)  # wide first: PAD is no byte
 
 
 def initial(classes: int, seed: int = 7) -> Weights:
@@ -120,25 +122,38 @@ def gradients(w: Weights, data: np.ndarray, target: np.ndarray) -> tuple[float,
     return loss, g
 
 
+def cut_windows(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number, first byte and length of every window of every text."""
+    sizes = np.diff(offsets)
+    count = -(-sizes // WINDOW)
+    text = np.repeat(np.arange(len(sizes)), count)
+    starts = offsets[text] + WINDOW * (np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count))
+    return text, starts, np.minimum(offsets[text + 1] - starts, WINDOW)
+
+
 def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7) -> tuple[list[str], Weights]:
-    """Learned languages, sorted, and the weights."""
-    names = sorted(set(langs))
-    data, target = [], []
-    for text, lang in zip(texts, langs, strict=True):
-        raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        starts = np.unique(np.linspace(0, max(len(raw) - WINDOW, 0), TRAIN_WINDOWS).astype(np.int64))
-        if len(raw):
-            data.append(windows_of(raw, starts, np.minimum(len(raw) - starts, WINDOW)))
-            target += [names.index(lang)] * len(starts)
+    """Learned languages, sorted, and the weights, from whole texts."""
+    buf, offsets = text_buffer(pa.array(texts, pa.string()))
+    text, starts, lengths = cut_windows(buf, offsets)
+    return train_windows(windows_of(buf, starts, lengths), [langs[i] for i in text.tolist()], sorted(set(langs)), steps, seed)
+
+
+def train_windows(data: np.ndarray, langs: list[str], names: list[str], steps: int = STEPS, seed: int = 7) -> tuple[list[str], Weights]:
+    """names, and the weights that Adam finds from windows (WINDOW, n) of these languages; each step draws languages evenly."""
     w = initial(len(names), seed)
-    if not data:
+    if not data.size:
         return names, w
-    data, target = np.concatenate(data, axis=1), np.array(target)
+    number = {name: k for k, name in enumerate(names)}
+    target = np.array([number[x] for x in langs])
+    order = np.argsort(target, kind="stable")
+    there = np.unique(target)
+    begin, count = np.searchsorted(target[order], there), np.bincount(target)[there]
     r = np.random.default_rng(seed)
     first = {k: np.zeros_like(v) for k, v in w.items()}
     second = {k: np.zeros_like(v) for k, v in w.items()}
     for step in range(1, steps + 1):
-        pick = r.integers(0, len(target), BATCH)
+        k = r.integers(0, len(there), BATCH)
+        pick = order[begin[k] + (r.random(BATCH) * count[k]).astype(np.int64)]
         _, g = gradients(w, data[:, pick], target[pick])
         rate = RATE * (1 - 0.95 * step / steps)
         for k in w:
@@ -151,11 +166,7 @@ def train(texts: list[str], langs: list[str], steps: int = STEPS, seed: int = 7)
 def probabilities(w: Weights, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Mean position probabilities of each text; zeros for an empty one."""
     sizes = np.diff(offsets)
-    count = -(-sizes // WINDOW)
-    text = np.repeat(np.arange(len(sizes)), count)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    starts = offsets[text] + nth * WINDOW
-    lengths = np.minimum(offsets[text + 1] - starts, WINDOW)
+    text, starts, lengths = cut_windows(buf, offsets)
     total = np.zeros((len(sizes), len(w["b"])))
     for k in range(0, len(text), CHUNK):
         data = windows_of(buf, starts[k : k + CHUNK], lengths[k : k + CHUNK])
@@ -186,22 +197,48 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % HOLD == OUT, F.lit(False))
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = TRAIN_DOCS) -> tuple[list[str], Weights]:
-    """A model from at most `limit` labelled documents that aren't held out."""
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "text"):
+        buf, offsets = text_buffer(batch.column("text"))
+        text, starts, lengths = cut_windows(buf, offsets)
+        cut = pa.array([buf[a : a + n].tobytes() for a, n in zip(starts.tolist(), lengths.tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("lang").take(pa.array(text)), batch.column("h").take(pa.array(text)), pa.array(starts - offsets[text]), cut], names=["lang", "h", "start", "bytes"])
+
+
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = TRAIN_DOCS, limit_bytes: int = TRAIN_BYTES, limit_langs: int = TRAIN_LANGS) -> tuple[list[str], Weights]:
+    """A model from a sample of labelled rows that aren't held out; nothing is learned from none.
+
+    The sample is bounded by `limit` rows and `limit_bytes` bytes, shared evenly by the languages. Rows
+    with a null or empty text or a null lang are left out; equal rows are drawn once.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
-    rows = rows.select(F.xxhash64("doc_id").alias("h"), "lang", "text")
-    lowest = [r.h for r in rows.select("h").orderBy("h").limit(limit).collect()]
-    if not lowest:
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("size"), "lang", "text")
+    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit_langs)
+    names = sorted(r.lang for r in common.collect())
+    if not names:
         return train([], [])
-    sample = rows.where(F.col("h") <= lowest[-1]).orderBy("h", "lang", "text").limit(limit).collect()  # only those rows' texts travel
-    return train([r.text for r in sample], [r.lang for r in sample])
+    each = max(1, limit // len(names))
+    ranked = rows.where(F.col("lang").isin(names)).select("lang", "h", "size", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("rank"))
+    left, chosen = dict.fromkeys(names, limit_bytes // len(names)), set()
+    for r in ranked.where(F.col("rank") <= each).orderBy("lang", "rank").collect():  # `each` rows of a task and language move
+        if r.size <= left[r.lang] and (r.lang, r.h) not in chosen:
+            left[r.lang] -= r.size
+            chosen.add((r.lang, r.h))
+    wanted = docs.sparkSession.createDataFrame(sorted(chosen), "lang string, h long")
+    sample = rows.join(F.broadcast(wanted), ["lang", "h"]).dropDuplicates(["lang", "h"]).mapInArrow(_windows, "lang string, h long, start long, bytes binary")
+    found = sample.toArrow().sort_by([("lang", "ascending"), ("h", "ascending"), ("start", "ascending")])
+    buf = np.frombuffer(b"".join(found.column("bytes").to_pylist()), np.uint8)
+    lengths = np.array([len(x) for x in found.column("bytes").to_pylist()], np.int64)
+    return train_windows(windows_of(buf, np.cumsum(lengths) - lengths, lengths), found.column("lang").to_pylist(), names)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], Weights], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs' rows as (row struct with all columns, lang_pred, score).
 
     A null text, or one without a letter, gets `und` and 0.0; so does all when nothing was learned.
+    Of languages of equal probability the first by name is taken. A long text is read whole, CHUNK
+    windows at a time. Windows are read apart: a state isn't carried from one to the next.
     Rows are judged one by one: repeated rows get equal results and an empty table none. What other
     columns docs has, and what they are called, doesn't matter: they travel inside `row`.
     """
