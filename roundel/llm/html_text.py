@@ -4,6 +4,13 @@ A tree builder reads tags with implied ends (a paragraph ends where a block begi
 the next one begins, and so on). The tree is then laid out: what is hidden is left out, all other text
 is emitted; blocks stand on lines of their own, paragraphs, headings, lists and tables between blank
 lines; list items carry their marks, indented by depth; cells of a table stand in aligned columns.
+
+Hidden is what `hidden`, a style attribute or a style sheet of the page says (display and visibility;
+rules whose selector is one type, class or id, or several of them together, outside @media other than
+all or screen), a closed details but for its summary, and a closed dialog. A cell keeps its lines and
+blank lines; cells with long blocks are written one below the other, not side by side. Spaces for
+alignment and indents are bounded by the page's size, so a text is never more than some times its page:
+a table that would need more is written with its cells two spaces apart.
 Every page is one task's work of linear size; nothing is shuffled.
 """
 
@@ -27,7 +34,10 @@ _NAME = r"<(/?)([a-zA-Z][^ \t\n\r\f/>]*+)"
 TAG = re.compile(rf"{_NAME}((?:[ \t\n\r\f/]*+{re.sub(r'[(](?![?])', '(?:', _ATTRIBUTE)})*+)[ \t\n\r\f]*+([ \t\n\r\f/]*+)>")
 #: A tag up to the next `>`, for pages on which a tag does not end by the rules.
 LOOSE = re.compile(rf"{_NAME}([^>]*?)(/?)>")
-HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+#: What decides whether an element is seen, in a style attribute or a rule.
+DECLARATION = re.compile(r"(?<![\w-])(display|visibility)\s*:\s*([a-z-]+)\s*(!\s*important)?", re.I)
+COMPOUND = re.compile(r"([a-zA-Z][\w-]*|\*)?((?:[.#][\w-]+)*)")
+INVISIBLE = ("hidden", "collapse")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 
 #: Element names by what they do.
@@ -62,10 +72,11 @@ TABLE_PARTS, TABLE_SCOPE = frozenset("table thead tbody tfoot tr td th caption".
 
 
 class Element:
-    __slots__ = ("tag", "attributes", "children", "foreign")
+    __slots__ = ("tag", "attributes", "children", "foreign", "css")
 
     def __init__(self, tag: str, attributes: str = "", foreign: bool = False):
         self.tag, self.attributes, self.children, self.foreign = tag, attributes, [], foreign
+        self.css: list[str] = []  # of the root: what its style elements hold
 
     def get(self, name: str) -> str | None:
         if name not in self.attributes.lower():
@@ -75,17 +86,82 @@ class Element:
                 return unescape(next((g for g in m.groups()[1:] if g is not None), ""))
         return None
 
-    def hidden(self) -> bool:
-        if self.tag in UNSEEN or self.foreign and self.tag in UNDRAWN:
-            return True
-        if not self.attributes:
-            return False
-        if self.get("hidden") is not None or self.tag == "input":
-            return True
-        if self.foreign and (self.get("display") == "none" or self.get("visibility") in ("hidden", "collapse")):
-            return True
-        style = self.get("style")
-        return bool(style and HIDING.search(style))
+
+def _blocks_of(css: str) -> Iterator[tuple[str, str]]:
+    """(selectors, declarations) of the rules of a style sheet, those for all media and screens."""
+    todo = [re.sub(r"/\*.*?(?:\*/|$)", " ", css, flags=re.S)]
+    while todo:
+        text, at = todo.pop(), 0
+        while (brace := text.find("{", at)) >= 0:
+            before = text[at:brace].rpartition(";")[2].strip()
+            if not before.startswith("@"):
+                end = text.find("}", brace)
+                end = len(text) if end < 0 else end
+                yield before, text[brace + 1 : end]
+                at = end + 1
+                continue
+            depth, at = 1, brace + 1
+            for m in re.compile("[{}]").finditer(text, at):
+                depth += 1 if m[0] == "{" else -1
+                at = m.end()
+                if not depth:
+                    break
+            if depth:
+                at = len(text)
+            if re.fullmatch(r"@media\s+(?:only\s+)?(?:all|screen)", before, re.I):
+                todo.append(text[brace + 1 : at - 1])
+
+
+class Styles:
+    """The rules of a page's style sheets that say whether something is seen."""
+
+    def __init__(self, sheets: list[str]):
+        self.by: dict[str, list[tuple[tuple, str, frozenset, list]]] = {}
+        order = 0
+        for css in sheets:
+            for selectors, body in _blocks_of(css):
+                if not (says := DECLARATION.findall(body)):
+                    continue
+                for selector in selectors.split(","):
+                    m = COMPOUND.fullmatch(selector.strip())
+                    if not m or not m[0]:
+                        continue
+                    order += 1
+                    parts = frozenset(re.findall(r"[.#][\w-]+", m[2]))
+                    ids, tag = sum(x[0] == "#" for x in parts), (m[1] or "*").lower()
+                    weight = (ids, len(parts) - ids, tag != "*", order)
+                    self.by.setdefault(min(parts, default=tag), []).append((weight, tag, parts, says))
+
+    def said(self, node: Element) -> dict[str, str]:
+        """display and visibility of an element as rules and its style attribute give them."""
+        found: list[tuple[tuple, str, str]] = []
+        if self.by:
+            names = {"." + c for c in BLANK.split(node.get("class") or "") if c}
+            if name := node.get("id"):
+                names.add("#" + name)
+            for key in (*names, node.tag, "*"):
+                for weight, tag, parts, says in self.by.get(key, ()):
+                    if tag in ("*", node.tag) and parts <= names:
+                        found += [((bool(important), 0, *weight), what.lower(), value.lower()) for what, value, important in says]
+        if style := node.get("style"):
+            found += [((bool(important), 1), what.lower(), value.lower()) for what, value, important in DECLARATION.findall(style)]
+        return {what: value for _, what, value in sorted(found)}
+
+    def seen(self, node: Element, visible: bool) -> tuple[bool, bool]:
+        """Whether an element is laid out, and whether its own text is visible, given what it inherits."""
+        tag = node.tag
+        if tag in UNSEEN or node.foreign and tag in UNDRAWN:
+            return False, False
+        if not node.attributes and not self.by:
+            return tag != "dialog", visible
+        says = self.said(node)
+        absent = tag == "input" or node.get("hidden") is not None or tag == "dialog" and node.get("open") is None
+        if node.foreign:
+            absent |= node.get("display") == "none"
+            if (own := node.get("visibility")) is not None:
+                says.setdefault("visibility", own)
+        display, own = says.get("display", "none" if absent else ""), says.get("visibility")
+        return display != "none" and tag != "input", own not in INVISIBLE if own in ("visible", *INVISIBLE) else visible
 
 
 def tree(html: str) -> Element:
@@ -186,6 +262,8 @@ def tree(html: str) -> Element:
             stop = end.start() if end else n
             if tag == "textarea":
                 element.children.append(unescape(html[at:stop]))
+            elif tag == "style":
+                root.css.append(html[at:stop])
             close_at = html.find(">", stop)
             at = n if close_at < 0 else close_at + 1
         elif tag not in VOID:
@@ -253,43 +331,115 @@ class Page:
         return "\n".join(self.lines).strip("\n")
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Rows of cells in columns as wide as their widest cell, two spaces apart."""
-    wide: list[int] = []
-    for row in rows:
-        for k, cell in enumerate(row):
-            if k == len(wide):
-                wide.append(0)
-            wide[k] = max(wide[k], len(cell))
-    return ["  ".join(cell.ljust(w) for cell, w in zip(row, wide, strict=False)).rstrip() for row in rows]
+WIDE, MAX_COLUMNS, MAX_INDENT = 60, 1000, 20
+SPACES, FREE_SPACES = 8, 20_000  # a page may spend this many times its length, and so many more, on alignment
 
 
-def drawn(svg: Element) -> list[Element | str]:
+class Table:
+    """Rows of (column, lines) as cells close; columns that a cell of an earlier row still takes are passed over."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[tuple[int, list[str]]]] = []
+        self.busy: dict[int, int] = {}  # columns taken in this row, and in how many below it
+        self.at = 0
+        self.broad: set[tuple[int, int]] = set()  # row and first column of cells that span columns: they don't say how wide one is
+
+    def row(self) -> None:
+        self.busy = {c: n - 1 for c, n in self.busy.items() if n}
+        self.rows.append([])
+        self.at = 0
+
+    def cell(self, lines: list[str], colspan: int, rowspan: int) -> None:
+        if not self.rows:
+            self.row()
+        while self.at in self.busy:
+            self.at += 1
+        self.rows[-1].append((self.at, lines))
+        if colspan > 1:
+            self.broad.add((len(self.rows) - 1, self.at))
+        for c in range(self.at, min(self.at + colspan, MAX_COLUMNS)):
+            self.busy[c] = rowspan - 1
+        self.at += colspan
+
+    def lines(self, spare: list[int]) -> list[str]:
+        """The cells in columns as wide as their widest line of WIDE characters or less, two spaces apart. spare: spaces that the page has left."""
+        there = [(k, r) for k, row in enumerate(self.rows) if (r := [(c, x) for c, x in row if any(x)])]
+        rows = [r for _, r in there]
+        columns = sorted({c for row in rows for c, _ in row})
+        if len(columns) < 2:
+            return [line for row in rows for _, x in row for line in x]
+        wide = dict.fromkeys(columns, 0)
+        for k, row in there:
+            for c, x in row:
+                if (k, c) not in self.broad:
+                    wide[c] = max(wide[c], *(len(line) for line in x if len(line) <= WIDE), 0)
+        left, at = {}, 0
+        for c in columns:
+            left[c], at = at, at + wide[c] + 2
+        flat = [not _has_blocks(row) for row in rows]
+        need = sum(left[row[-1][0]] * max(len(x) for _, x in row) for row, f in zip(rows, flat, strict=True) if f)
+        align = need <= spare[0]
+        spare[0] -= need if align else 0
+        out: list[str] = []
+        k_before = -1
+        for row, f in zip(rows, flat, strict=True):
+            if not f or out and not flat[k_before]:  # blank lines around a row of blocks and between its cells
+                out += [""] * (bool(out) and out[-1] != "")
+            k_before += 1
+            if not f:
+                for n, (_, x) in enumerate(row):
+                    out += ["", *x] if n else x
+                continue
+            for k in range(max(len(x) for _, x in row)):
+                line = ""
+                for c, x in row:
+                    if k < len(x) and x[k]:
+                        line = line + "  " if line else line
+                        line = (line.ljust(left[c]) if align else line) + x[k]
+                out.append(line)
+        return out
+
+
+def _has_blocks(row: list[tuple[int, list[str]]]) -> bool:
+    """Whether the row holds several cells, and in one of them paragraphs or long lines below each other."""
+    return len(row) > 1 and any(len(x) > 1 and ("" in x or max(map(len, x)) > WIDE) for _, x in row)
+
+
+def drawn(svg: Element, styles: Styles, visible: bool) -> list[tuple[Element | str, bool]]:
     """What an svg element shows as text: its text elements and the HTML inside it, each apart from the others."""
-    out, todo = [], [*reversed(svg.children)]
+    out, todo = [], [(c, visible) for c in reversed(svg.children)]
     while todo:
-        node = todo.pop()
-        if isinstance(node, str) or node.hidden():
+        node, visible = todo.pop()
+        if isinstance(node, str):
             continue
         if node.tag in ("text", "foreignobject"):
-            out += [" ", node, " "]
-        else:
-            todo += reversed(node.children)
+            out += [(" ", visible), (node, visible), (" ", visible)]
+            continue
+        shown, visible = styles.seen(node, visible)
+        if shown:
+            todo += [(c, visible) for c in reversed(node.children)]
     return out
 
 
-def render(root: Element) -> str:
-    """All visible text of a tree."""
+def _number(text: str | None, most: int) -> int:
+    return min(max(1, int(text)), most) if text and re.fullmatch("[0-9]{1,6}", text) else 1
+
+
+def render(root: Element, size: int = 1 << 20) -> str:
+    """All visible text of a tree; size: the characters of its page, which bound the spaces for alignment."""
+    styles, spare = Styles(root.css), [SPACES * size + FREE_SPACES]
     page, outer = Page(), []  # outer: the pages around open cells
-    tables: list[list[list[str]]] = []
+    tables: list[Table] = []
     lists: list[list] = []  # [mark kind, next number]
     stray: set[Element] = set()
     keep = 0  # open pre elements
-    todo: list[tuple[object, bool]] = [(root, True)]
+    todo: list[tuple[object, bool, bool]] = [(root, True, True)]
     while todo:
-        node, enter = todo.pop()
-        indent = "  " * max(0, len(lists) - 1)
+        node, enter, visible = todo.pop()
+        indent = "  " * min(max(0, len(lists) - 1), MAX_INDENT)
         if isinstance(node, str):
+            if not visible:
+                continue
             if keep:
                 page.whole(node.split("\n"), indent) if "\n" in node else page.text(node, indent)
             else:
@@ -297,28 +447,28 @@ def render(root: Element) -> str:
             continue
         tag = node.tag
         if enter:
-            if node.hidden():
+            shown, visible = styles.seen(node, visible)
+            if not shown:
                 continue
             if tag == "br":
                 if page.parts:
                     page.end_line()
                 continue
             if tag == "img":
-                if alt := node.get("alt"):
+                if visible and (alt := node.get("alt")):
                     page.text(alt, indent)
                 continue
             if tag in ("td", "th"):
                 outer.append((page, lists))
                 page, lists = Page(), []
                 if not tables:  # a cell outside a table is one of its own
-                    tables.append([])
+                    tables.append(Table())
                     stray.add(node)
-                if not tables[-1]:
-                    tables[-1].append([])
             elif tag in BLOCK:
                 page.blank() if tag in SPACED else page.end_line()
                 if tag == "hr":
-                    page.whole(["---"], indent)
+                    if visible:
+                        page.whole(["---"], indent)
                     page.blank()
                 elif tag in ("ul", "ol"):
                     start = node.get("start") or ""
@@ -334,28 +484,28 @@ def render(root: Element) -> str:
                 elif tag == "dd":
                     page.mark = "  "
                 elif tag == "table":
-                    tables.append([])
+                    tables.append(Table())
                 elif tag == "tr" and tables:
-                    tables[-1].append([])
+                    tables[-1].row()
                 elif tag == "pre":
                     keep += 1
             if tag not in VOID:
-                todo.append((node, False))
-                todo += [(c, True) for c in reversed(drawn(node) if tag == "svg" else node.children)]
+                todo.append((node, False, visible))
+                inside = drawn(node, styles, visible) if tag == "svg" else [(c, visible) for c in node.children]
+                if tag == "details" and node.get("open") is None:
+                    inside = [x for x in inside if isinstance(x[0], Element) and x[0].tag == "summary"][:1]
+                todo += [(c, True, v) for c, v in reversed(inside)]
             continue
         if tag in ("td", "th"):
-            cell = BLANK.sub(" ", page.done())
+            text = page.done()
             page, lists = outer.pop()
-            tables[-1][-1].append(cell)
-            span = node.get("colspan") or ""
-            if re.fullmatch("[0-9]{1,3}", span):
-                tables[-1][-1] += [""] * (int(span) - 1)
+            tables[-1].cell(text.split("\n") if text else [], _number(node.get("colspan"), MAX_COLUMNS), 65534 if node.get("rowspan") == "0" else _number(node.get("rowspan"), 65534))
             if node in stray:
                 stray.discard(node)
-                page.whole(aligned(tables.pop()), indent)
+                page.whole(tables.pop().lines(spare), indent)
         elif tag == "table":
             if tables:
-                page.whole(aligned([r for r in tables.pop() if any(r)]), indent)
+                page.whole(tables.pop().lines(spare), indent)
             page.blank()
         elif tag in BLOCK:
             if tag == "li" and page.mark:
@@ -369,7 +519,7 @@ def render(root: Element) -> str:
 
 
 def extract(html: str | None) -> str:
-    return render(tree(html)) if html else ""
+    return render(tree(html), len(html)) if html else ""
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,7 +531,8 @@ def render_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "htm
     """(page_id, text) for each row of pages.
 
     Null or empty html gives an empty text. Rows are rendered one by one: repeated rows give equal
-    texts and an empty table none. Other columns are ignored.
+    texts and an empty table none. A long page is rendered whole. Other columns are ignored, whatever
+    their names.
     """
     return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html")).mapInArrow(_extract, "page_id long, text string")
 
