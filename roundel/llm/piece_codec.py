@@ -4,7 +4,8 @@ The texts of a batch are cut into units no piece can cross: spaces with the word
 single characters that stand in no longer piece. The distinct units are one string, with breaks
 between them, and a suffix array over it (prefix doubling up to the longest piece) is searched for
 every piece at once by binary search. Each occurrence is an edge from its first character to its end;
-edges are sorted by where they end in their unit, and relaxed in that order.
+edges are sorted by where they end in their unit, and relaxed in that order, all units at once; a unit
+of more than LONG_UNIT characters is relaxed by itself, SEGMENT characters at a time.
 
 The model merges pairs by rank, so an edge is not taken for its score. The encoding of a prefix ends
 in exactly one piece: the one that, with the last piece of the prefix before it, stays as it is when
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +32,7 @@ SPACE = "▁"
 CACHE_UNITS = 250_000
 INDEX_CHARS = 400_000  # of distinct units that one suffix array covers
 BATCH_BYTES = 2_000_000
+LONG_UNIT, SEGMENT, KNOWN_PAIRS = 4096, 200_000, 1_000_000
 NONE = np.int64(1 << 40)
 
 
@@ -100,6 +103,7 @@ class PieceModel:
         self.char_pairs = self._cell(self.chars[:, :-1] << 21 | np.maximum(self.chars[:, 1:], 0))
         self.length = np.array([len(s) for s, _ in self.good])
         self.good_id = np.array([i for _, i in self.good])
+        self._plain: tuple | None = None
 
     def merge_all(self, text: str, stop: int = 1) -> list[str]:
         """The plain definition: merge the pair of the best rank, leftmost first, until none or `stop` parts are left."""
@@ -228,6 +232,55 @@ class PieceModel:
                 s, e, p = s[rest], e[rest], p[rest]
         return self._paths(units, begins, last, back)
 
+    def encode_long(self, unit: str) -> bytes:
+        """Ids of one unit of any length, in time and memory that follow it."""
+        n, known = len(unit), {}
+        last, back, reached = array("i", [-1]) * (n + 1), array("i", [-1]) * (n + 1), bytearray(n + 1)
+        reached[0] = 1
+        for a in range(0, n, SEGMENT):
+            b, base = min(n, a + SEGMENT), max(0, a - self.longest)
+            start, end, piece, _ = self.edges([unit[base:b]])
+            start, end = start + base, end + base
+            order = np.lexsort((start, end))
+            order = order[end[order] > a]
+            for s, e, p in zip(start[order].tolist(), end[order].tolist(), piece[order].tolist(), strict=True):
+                if reached[e] or not reached[s]:
+                    continue
+                if s:
+                    pair = last[s] << 20 | p
+                    if (good := known.get(pair)) is None:
+                        if len(known) > KNOWN_PAIRS:
+                            known.clear()
+                        good = known[pair] = self._apart_one(last[s], p)
+                    if not good:
+                        continue
+                last[e], back[e], reached[e] = p, s, 1
+        ids, at = [], n
+        while at:
+            if back[at] < 0:
+                ids += [self.byte[x] for x in reversed(unit[at - 1].encode("utf-8", "replace"))]
+                at -= 1
+            else:
+                ids.append(last[at])
+                at = back[at]
+        return np.array(ids[::-1], "<u4").tobytes()
+
+    def _apart_one(self, a: int, b: int) -> bool:
+        """`apart` for one pair."""
+        if self._plain is None:
+            self._plain = dict(zip(self.pair.tolist(), self.pair_rank.tolist(), strict=True)), self.rank.tolist(), self.left.tolist(), self.right.tolist()
+        pairs, rank, left, right = self._plain
+        limit = none = int(NONE)
+        while pairs.get(a << 20 | b, none) >= limit:
+            ra, rb = rank[a] if right[a] >= 0 else -1, rank[b] if right[b] >= 0 else -1
+            if ra < 0 and rb < 0:
+                return True
+            if ra > rb:
+                limit, a = ra, right[a]
+            else:
+                limit, b = rb + 1, left[b]
+        return False
+
     def _paths(self, units: list[str], begins: np.ndarray, last: np.ndarray, back: np.ndarray) -> list[bytes]:
         """The pieces on the way from each unit's end to its beginning; all units walk at once."""
         first, at = begins[:-1], begins[1:] - 1
@@ -276,13 +329,18 @@ class PieceCodec(dict):
         if len(self) > CACHE_UNITS:
             self.clear()
         new = list({u for units in cut for u in units} - self.keys())
-        if new:
+        long = [u for u in new if len(u) > LONG_UNIT]
+        self.update((u, self.model.encode_long(u)) for u in long)
+        if new := [u for u in new if len(u) <= LONG_UNIT] if long else new:
             ends = np.cumsum([len(u) + 1 for u in new])
             cuts = [0, *np.unique(np.searchsorted(ends, np.arange(INDEX_CHARS, ends[-1], INDEX_CHARS))).tolist(), len(new)]
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if a < b:
                     self.update(zip(new[a:b], self.model.encode_units(new[a:b]), strict=True))
-        return [np.frombuffer(b"".join(map(self.__getitem__, units)), "<u4") for units in cut]
+        out = [np.frombuffer(b"".join(map(self.__getitem__, units)), "<u4") for units in cut]
+        for u in long:
+            del self[u]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         return self.model.decode(ids.tolist())
@@ -317,8 +375,9 @@ def encode_pieces(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
 
     ids_crc32 is the CRC-32 of the ids as little-endian unsigned 32-bit integers; round_trip says
     whether decoding gives the text again. A null or empty text has no ids. Each row depends on
-    itself alone, so repeated rows get equal results and an empty table gives none. Other columns
-    are ignored. U+2581 in a text is taken for a space, as the model does.
+    itself alone, so repeated rows get equal results and an empty table gives none. Of two pieces that
+    could be merged the model's rank decides, of equal ranks the left one. A long text is encoded whole,
+    also one without a space. Other columns are ignored, whatever their names. U+2581 in a text is taken for a space, as the model does.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(frees(_encode(model)), "doc_id long, text string, ids array<int>, ids_crc32 long, round_trip boolean")
