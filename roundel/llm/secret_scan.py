@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, unused
 
 KINDS = ("assign", "access", "hex", "entropy")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -101,12 +101,12 @@ def _entropy(text: Column, pattern: str, width: int, bits: float, needs: str, al
     return F.flatten(F.transform(_located(text, pattern, 0, width, 3), spans))
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, whole: bool = False) -> DataFrame:
-    """Docs with the column `found`: spans (start, kind, stop) in code points, by start and then kind, the end exclusive.
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", allow: tuple[str, ...] = ALLOW, whole: bool = False, found: str = "found") -> DataFrame:
+    """Docs with the column `found` (or of another name): spans (start, kind, stop) in code points, by start and then kind, the end exclusive.
 
     A null or empty text has none. Rows are judged one by one, so repeated rows get equal results and
-    an empty table stays empty. All columns of docs stay; one called `found` is replaced. With `whole`,
-    MORE_CLASSES are looked for too and entropy spans stay where they overlap others, as redaction needs.
+    an empty table stays empty. Long texts are scanned whole. All columns of docs stay, whatever their
+    names; only one called as `found` says is replaced. With `whole`, MORE_CLASSES are looked for too and entropy spans stay where they overlap others, as redaction needs.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     small = F.lower(text)
@@ -119,14 +119,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.when(text.rlike(f"[0-9a-f]{{{MIN_HEX}}}"), _located(text, f"[0-9a-f]{{{MIN_HEX},}}", 0, MIN_HEX, 2)).otherwise(_none()),
     )
     more = [F.when(text.rlike(pattern), _entropy(text, pattern, width, bits, needs, allow)).otherwise(_none()) for pattern, width, bits, needs in (*CLASSES, *(MORE_CLASSES if whole else ()))]
-    rest = docs.drop("found") if text_col != "found" else docs
     if whole:
-        return rest.withColumn("found", F.array_sort(F.array_distinct(F.concat(base, *more))))
-    out = rest.withColumn("__base", base).withColumn("__more", F.array_sort(F.concat(*more)))
+        return docs.withColumn(found, F.array_sort(F.array_distinct(F.concat(base, *more))))
+    fixed = unused([*docs.columns, found], "fixed")
+    added = unused([*docs.columns, found], "added")
+    out = docs.withColumns({fixed: base, added: F.array_sort(F.concat(*more))})
     # the classes overlap: of two entropy spans that touch, the earlier stays
-    apart = F.aggregate("__more", _none(), lambda acc, s: F.when(F.exists(acc, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])), acc).otherwise(F.concat(acc, F.array(s))))
-    new = F.filter(apart, lambda s: ~F.exists("__base", lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"])))
-    return out.withColumn("found", F.array_sort(F.concat("__base", new))).drop("__base", "__more")
+    touch = lambda a, b: (a["start"] < b["stop"]) & (b["start"] < a["stop"])
+    apart = F.aggregate(added, _none(), lambda acc, s: F.when(F.exists(acc, lambda b: touch(s, b)), acc).otherwise(F.concat(acc, F.array(s))))
+    new = F.filter(apart, lambda s: ~F.exists(fixed, lambda b: touch(s, b)))
+    return out.withColumn(found, F.array_sort(F.concat(fixed, new))).drop(fixed, added)
 
 
 def listed(spans: Column) -> Column:

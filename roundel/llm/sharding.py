@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, stored
+from .common import drop, read, stored
 
 BITS, STEP = 32, 12
 LIMIT = 1 << 20  # bytes of text in a shard
@@ -31,8 +31,8 @@ def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lim
     """(doc_id, shard, depth, bytes, shard_bytes) for each row of docs; shard is its prefix in binary digits.
 
     A null text has no bytes. Rows with one key, repeated rows among them, share all bits and so a
-    shard; only such a shard, or one with a single larger text, can exceed the limit. An empty table
-    gives an empty result. Other columns are ignored.
+    shard; only such a shard, or one with a single larger text, can exceed the limit. Long texts count
+    whole. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     size = F.octet_length(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).cast("long")
     rows = stored(docs.select(F.col(key_col).cast("long").alias("doc_id"), size.alias("bytes")).withColumn("h", key_hash(F.col("doc_id"))), "sizes")
@@ -62,6 +62,23 @@ def shards(docs: DataFrame, key_col: str = "doc_id", text_col: str = "text", lim
         base = top
 
 
+def write_shards(docs: DataFrame, path: str, key_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
+    """Write docs as Parquet with a folder for each shard (path/shard=...; the empty prefix is `all`), every shard by one task.
+
+    All columns stay but for one called shard, in any case. A row's shard is that prefix of its key's
+    hash which is a shard; depths differ little, so few prefixes of each row are looked up.
+    """
+    leaves = stored(shards(docs, key_col, text_col, limit).select("shard", "depth").distinct(), "shards")
+    depths = sorted(r.depth for r in leaves.select("depth").distinct().collect())  # 33 at most
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != "shard"])
+    digits = F.lpad(F.bin(key_hash(F.col(key_col).cast("long"))), BITS, "0")
+    named = lambda prefix: F.when(prefix == "", F.lit("all")).otherwise(prefix)
+    rows = kept.withColumn("shard", F.explode(F.array(*[F.substring(digits, 1, d) for d in depths] or [F.lit("")])))
+    found = rows.join(leaves.select("shard"), "shard", "left_semi")
+    found.withColumn("shard", named(F.col("shard"))).repartition("shard").write.partitionBy("shard").parquet(path)
+    drop(leaves)
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(read(spark, sf_dir, "documents"))
 
