@@ -305,6 +305,17 @@ def test_only_too_large_shards_split(spark):
     assert {x.depth for x in tight if x.doc_id == 1} == {32} and {x.shard_bytes for x in tight if x.doc_id == 1} == {150}
 
 
+def test_shards_are_written(spark, tmp_path):
+    table = spark.createDataFrame([(i % 40 if i else None, "x" * 100, i, f"s{i}") for i in range(60)], "doc_id long, text string, more int, Shard string")
+    sharding.write_shards(table, str(tmp_path / "s"), limit=900)
+    back = spark.read.option("basePath", str(tmp_path / "s")).schema("doc_id long, text string, more int, shard string").parquet(str(tmp_path / "s"))
+    assert sorted((x.doc_id or -1, x.more) for x in back.collect()) == sorted((x.doc_id or -1, x.more) for x in table.collect())
+    want = {(x.doc_id, x.shard) for x in sharding.shards(table, limit=900).collect()}
+    assert {(x.doc_id, x.shard) for x in back.select("doc_id", "shard").collect()} == want
+    sharding.write_shards(table, str(tmp_path / "one"), limit=10**9)
+    assert [p.name for p in (tmp_path / "one").iterdir() if p.is_dir()] == ["shard=all"]
+
+
 def test_links_carry_trust_and_distrust(spark):
     pages = [(1, "http://good.com/", '<a href="http://Mid.org/x">'), (2, "http://mid.org", "<a class=k href=//far.org>"), (3, "http://feeder.org/", '<a href="https://bad.net/es/1">'), (4, "http://bad.net/es/1", None), (5, "http://far.org/?q", ""), (6, None, "x"), (7, "nothing", None), (8, "x://WWW.example.com/en/a?b", ""), (9, "x://a.example.com/en/", ""), (10, "http://a.com", "")]
     out = {x.page_id: x for x in url_filters.filter_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
@@ -386,6 +397,56 @@ def test_quotes_count_only_behind_an_equals_sign():
     assert e("<a x='>' " * 40000 + "<p>z").endswith("z")
 
 
+def test_cells_keep_their_blocks():
+    e = html_text.extract
+    assert e("<table><tr><td><h2>T</h2><p>a<p>b<ul><li>x<li>y</ul></table>") == "T\n\na\n\nb\n\n- x\n- y"
+    assert e("<table><tr><td>a<br>b<td>c<tr><td rowspan=2>one<td>two<td>3<tr><td>four<td>5</table>") == "a    c\nb\none  two   3\n     four  5"
+    assert e("<table><tr><td colspan=2>ab<td>c<tr><td>d<td>eee<td>f</table>") == "ab      c\nd  eee  f"
+    assert e("<table><tr><td><p>a<p>b<td>c</table>d") == "a\n\nb\n\nc\n\nd"
+    assert e("<table><tr><td>x<table><tr><td>1<td>2<tr><td>333<td>4</table><td>y</table>") == "x\n\n1    2\n333  4\n\ny"
+
+
+def test_spaces_are_bounded_by_the_page():
+    wide = "<table>" + f"<tr><td>{'w' * 200_000}<td>z" + "<tr><td>a<td>b" * 500 + "</table>"
+    stairs = "<table>" + "".join(f"<tr><td colspan={k}><td>xyz" for k in range(1, 1000)) + "</table>"
+    deep = "<ul><li>x" * 5000
+    nested = "<table><tr><td>a<td>" * 200 + "<table>" + "<tr><td>q<td>r" * 50
+    for html in (wide, stairs, deep, nested):
+        out = html_text.extract(html)
+        assert len(out) < 10 * len(html) + 30_000 and len(out.split()) == len(re.sub("<[^>]*>", " ", html).split()) + out.count("- x")
+
+
+def test_visibility_rules():
+    e = html_text.extract
+    assert e("<style>.h, p#i {display: none} b.h{display:inline}</style>a<i class='x h'>no</i><b class=h>yes</b><p id=i>no<p>c") == "ayes\n\nc"
+    assert e("<style>/* .k{display:none} */ @media print {.p{display:none}} @media screen{.s{display:none}} div .q{display:none}</style><i class=k>a</i><i class=p>b</i><i class=s>no</i><i class=q>c</i>") == "abc"
+    assert e("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div><p style='backface-visibility:hidden'>z") == "yes\n\nz"
+    assert e("<style>[x]{} .a{display:none!important}</style><p class=a style='display:block'>no<p hidden style='display:block'>yes") == "yes"
+    assert e("<details>no<summary>s</summary>no</details><details open><summary>t</summary>u</details><dialog>no</dialog><dialog open>d</dialog>") == "s\nt\nu\nd"
+
+
+class Words(__import__("html.parser", fromlist=["HTMLParser"]).HTMLParser):
+    """The words outside elements that are never seen, by the parser of the standard library."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.off, self.words = 0, []
+        self.feed(re.sub(r"(?is)<(script|style|title|textarea|noscript|iframe)\b.*?</\1\s*>", " ", html))
+        self.close()
+
+    def handle_data(self, data):
+        self.words += data.split()
+
+
+def test_all_words_of_real_pages_come_out(spark):
+    pages = duckdb.sql(f"select html from '{DATA}/pages.parquet' where html is not null").fetchnumpy()["html"].tolist()
+    plain = [h for h in pages if not re.search(r"(?i)hidden|display\s*:|visibility|<(details|dialog|svg|template|object|noscript|select|datalist|img)", h)]
+    assert len(plain) > 20
+    for html in plain:
+        want, got = Words(html).words, re.sub(r"(?m)^ *(?:- |[0-9]+[.] |---$)", "", html_text.extract(html)).split()
+        assert sorted("".join(want)) == sorted("".join(got)), html[:300]
+
+
 # token store
 
 
@@ -473,6 +534,54 @@ def test_leaks_equal_brute_force(spark):
         assert got == want
 
 
+def test_leaks_in_long_and_repeated_texts(spark):
+    item = "the quick brown fox jumps over the lazy dog and then over the fence again"
+    texts = [LONG + item.replace("fox", "fax") + LONG, LONG, item, item.replace(" ", "\n\t ")]
+    table = spark.createDataFrame([(1, item), (2, "a"), (None, item)], "item_id long, text string")
+    rows = spark.createDataFrame([(None if i == 2 else 5, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, item_id int")
+    out = decontamination.leaks(rows, table, least=10).collect()
+    assert Counter((x.doc_id, x.distance) for x in out) == {(5, 1): 2, (None, 0): 2, (5, 0): 2}
+    assert len({(x.doc_id, x.row_hash) for x in out}) == 3 and {x.item_id for x in out} == {1, None}
+
+
+def probabilities_by_hand(w, raw):
+    """The network one byte and one direction at a time, in windows of 64 bytes."""
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    h8, total = language_id.HIDDEN, 0
+    for a in range(0, len(raw), 64):
+        part, states = raw[a : a + 64], []
+        for k, order in enumerate((part, part[::-1])):
+            h, seen = np.zeros(h8), []
+            for byte in order:
+                x, u = w["x"][k, byte].astype(float), h @ w["u"][k].astype(float)
+                z, r = sigmoid(x[:h8] + u[:h8]), sigmoid(x[h8 : 2 * h8] + u[h8 : 2 * h8])
+                h = z * h + (1 - z) * np.tanh(x[2 * h8 :] + r * u[2 * h8 :])
+                seen.append(h)
+            states.append(seen if k == 0 else seen[::-1])
+        for f, b in zip(*states, strict=True):
+            p = np.exp(f @ w["o"][0].astype(float) + b @ w["o"][1].astype(float) + w["b"])
+            total = total + p / p.sum()
+    return total / len(raw)
+
+
+def test_pooled_probabilities_equal_a_plain_network():
+    w = language_id.initial(4, seed=3)
+    w["b"] += np.array([0.3, -0.2, 0.1, 0], np.float32)
+    texts = ["a", "", "hello world " * 30, "é" * 32, "x" * 64, "y" * 65, "zß" * 500]
+    got = language_id.probabilities(w, *text_buffer(pa.array(texts)))
+    for t, p in zip(texts, got, strict=True):
+        assert np.allclose(p, probabilities_by_hand(w, t.encode()) if t else 0, atol=2e-5)
+
+
+def test_the_sample_is_shared_by_languages_and_bounded(spark):
+    rows = [(i, "common tongue words here " * 20, "cc") for i in range(300)] + [(1000 + i, "öäü ßß zz " * 9, "rr") for i in range(4)] + [(None, "x" * 5000, "rr"), (7, None, "cc"), (8, "t", None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    names, w = language_id.learn(table, limit=20, limit_bytes=4000)
+    assert names == ["cc", "rr"]
+    out = language_id.predict(table, (names, w)).select("row.lang", "lang_pred").where("lang = 'rr' AND row.doc_id IS NOT NULL").collect()
+    assert {x.lang_pred for x in out} == {"rr"}
+
+
 def test_gradients_are_right():
     w = {k: v.astype(np.float64) for k, v in language_id.initial(3).items()}
     r = np.random.default_rng(0)
@@ -518,6 +627,52 @@ def test_pieces_equal_the_library():
         assert set(zip(start.tolist(), end.tolist(), piece.tolist(), strict=True)) == want and begins.tolist() == [0, 6, 11, 15]
 
 
+def test_long_units_equal_the_library():
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    codec, library = piece_codec.PieceCodec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(1)
+    texts = ["".join(r.choice("abcdefghijklmnoprstuthein,.") for _ in range(9000)), "the" * 3000, "a" * 5000, "".join(r.choice("ingtheér中") for _ in range(6000)) + " and words"]
+    for segment in (piece_codec.SEGMENT, 1000):
+        old, piece_codec.SEGMENT = piece_codec.SEGMENT, segment
+        assert [x.tolist() for x in codec.encode(texts)] == library.encode(texts)
+        piece_codec.SEGMENT = old
+    assert not any(len(u) > piece_codec.LONG_UNIT for u in codec)
+
+
+CLASH = {"found": "int", "row": "string", "row_hash": "string", "at": "string", "c": "string", "n": "string", "keys": "int", "fixed": "int", "added": "int", "_h": "int", "shard": "int", "depth": "int", "says": "int", "links": "int", "of": "int", "walk": "int", "trust": "int", "lines": "int", "k1": "int", "ids": "int", "Text_": "string", "stop": "int"}
+
+
+def test_columns_of_clashing_names_change_nothing(spark):
+    table = docs(spark, ["one two three four five six", None, "token = abcdef12"]).select("doc_id", "text", "lang", "source", "n_chars")
+    odd = table.select("*", *[F.lit(1).cast(t).alias(c) for c, t in CLASH.items()])
+    path = public_tokenizers.path
+    items = spark.createDataFrame([(1, "two three four")], "item_id long, text string")
+    same = lambda f: sorted(map(repr, f(table).collect())) == sorted(map(repr, f(odd).collect()))
+    assert same(quality_rules.line_frequency) and same(sharding.shards) and same(lambda d: decontamination.leaks(d, items.withColumn("doc_id", F.lit(1))))
+    assert same(lambda d: ngram_join.ngram_components(d, more=True)) and same(lambda d: piece_codec.encode_pieces(d, path("piece_bpe_32k.model")))
+    scanned = secret_scan.scan_secrets(odd.drop("found"))
+    assert scanned.columns == [*odd.drop("found").columns, "found"] and [x.fixed for x in scanned.collect()] == [1] * 3
+    pages = spark.createDataFrame([(1, "http://a.net/es/", "<p>x<a href=//b.org>"), (2, "http://b.org/", None), (2, "http://b.org/", "x" * 300_000)], "page_id long, url string, html string")
+    more = pages.select("*", *[F.lit(1).cast(t).alias(c) for c, t in CLASH.items()], F.lit("z").alias("host"), F.lit("z").alias("path"), F.lit("z").alias("rule"))
+    for f in (url_filters.filter_urls, html_text.render_pages):
+        assert sorted(map(repr, f(pages).collect())) == sorted(map(repr, f(more).collect()))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    class Context:
+        master = "spark://x:7077"
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session, "x")
+
+
 def test_piece_query_round_trips(spark):
     out = registry.QUERIES["op10_piece_codec"](spark, DATA).collect()
     assert len(out) == 200 and all(x.round_trip for x in out)

@@ -41,3 +41,17 @@ def test_all_but_the_last_stage_keep_the_columns(spark):
     for name, stage in P.STAGES[:-1]:
         docs = stage(spark, docs, DATA)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"], name
+
+
+def test_stages_judge_rows_not_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    near, other = " ".join([*base[:59], "x"]), " ".join(f"v{i}" for i in range(60))
+    one, two = (r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").orderBy("item_id").limit(2).collect())
+    rows = [(1, " ".join(base)), (2, near), (2, other), (3, "own text of one row here"), (3, "own text of one row here"), (None, near), (None, f"{two} x"), (4, f"a {one}"), (4, "clean text under the same id"), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, row_hash int")
+    left = P.drop_near_duplicates(spark, docs, DATA)
+    assert left.columns == docs.columns
+    got = sorted((x.doc_id or 0, x.text) for x in left.collect())
+    assert got == sorted([(1, " ".join(base)), (2, other), (3, "own text of one row here"), (0, f"{two} x"), (4, f"a {one}"), (4, "clean text under the same id"), (5, ""), (5, "")])
+    clean = P.drop_contaminated(spark, left, DATA)
+    assert sorted((x.doc_id or 0) for x in clean.collect()) == [1, 2, 3, 4, 5, 5] and clean.columns == docs.columns
