@@ -7,7 +7,8 @@ BLOCK_TOKENS tokens, ordered by size and a further minimum hash, so that alike s
 and a hot bucket spreads over many tasks; two blocks are compared only where their size ranges allow a
 link and they are not one component yet. Before whole sets move, sketches do: 16 bits of each of the 56
 minimum hashes. A class goes on only if it agrees with another one of its group in LEAST of them, which
-a pair of Jaccard 0.75 misses with a probability below 1e-11. Then each group is a signature tree
+a pair of Jaccard 0.75 misses with a probability below 1e-11, and if the pair shares no smaller key, so
+that two classes meet once and not in each of their buckets. Then each group is a signature tree
 (signature_tree.py), which finds the links by exact comparison of whole sets of 64-bit hashes and emits
 a spanning forest, never all pairs. No bucket, candidate or partner is dropped.
 
@@ -117,22 +118,25 @@ def _blocks(block: int, tokens: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], value: str) -> Iterator[tuple[str, list[int], list[int], list[int | None], list[bytes]]]:
-    """Sorted rows by group: its name, and for each class once its id, label, side and value."""
+def _groups(batches: Iterator[pa.RecordBatch], *values: str) -> Iterator[tuple]:
+    """Sorted rows by group: its name, and for each class once its id, label, side and values."""
     key, group = None, {}
     for batch in batches:
-        for k, i, label, side, x in zip(*(batch.column(c).to_pylist() for c in ("grp", "id", "label", "side", value)), strict=True):
+        for k, i, *rest in zip(*(batch.column(c).to_pylist() for c in ("grp", "id", "label", "side", *values)), strict=True):
             if k != key:
                 if group:
                     yield key, [*group], *map(list, zip(*group.values(), strict=True))
                 key, group = k, {}
-            group[i] = (label, side, x)
+            group[i] = rest
     if group:
         yield key, [*group], *map(list, zip(*group.values(), strict=True))
 
 
 def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Classes whose sketch agrees with that of another component (and the other side) of their group."""
+    """Classes whose sketch agrees with that of another component (and the other side) of their group, of pairs that share no smaller key of this round.
+
+    Of buckets with the same members the one with the smallest key is kept, so a pair's smallest key always has its bucket.
+    """
     out: list[tuple] = []
 
     def batch() -> pa.RecordBatch:
@@ -140,15 +144,18 @@ def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out.clear()
         return pa.RecordBatch.from_arrays(columns, names=["grp", "id", "label", "side"])
 
-    for key, ids, labels, sides, sketches in _groups(batches, "sketch"):
-        low = np.frombuffer(b"".join(sketches), "<u2").reshape(len(ids), -1)
+    none = np.iinfo(np.int64).max
+    for name, ids, labels, sides, sketches, keys in _groups(batches, "sketch", "keys"):
+        low, keys, bucket = np.frombuffer(b"".join(sketches), "<u2").reshape(len(ids), -1), np.array(keys), int(name.partition(":")[0])
         label, side = np.array(labels), np.array(sides) if sides[0] is not None else None
         for a in range(0, len(ids), 64):
             near = (low[a : a + 64, None] == low).sum(axis=2) >= LEAST
             near &= label[a : a + 64, None] != label
             if side is not None:
                 near &= side[a : a + 64, None] != side
-            out += [(key, ids[k], labels[k], sides[k]) for k in (a + np.flatnonzero(near.any(axis=1))).tolist()]
+            i, j = np.nonzero(near)
+            first = np.where(keys[a + i] == keys[j], keys[j], none).min(axis=1, initial=none)
+            out += [(name, ids[k], labels[k], sides[k]) for k in np.unique(a + i[first == bucket]).tolist()]
         if len(out) > 4096:
             yield batch()
     if out:
@@ -175,6 +182,7 @@ def _fits(low: Column, high: Column, percent: int) -> Column:
 class _Join:
     def __init__(self, docs: DataFrame, classes: DataFrame, percent: int, block: int, tokens: int):
         self.docs, self.classes, self.percent, self.block, self.tokens = docs, classes, percent, block, tokens
+        self.bands = 1, BANDS
         self.edges: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -196,8 +204,8 @@ class _Join:
 
     def link(self, rows: DataFrame) -> None:
         """Compare the classes of each group: rows (grp, id, label, side)."""
-        sketched = rows.join(self.classes.select("id", "sketch"), "id").repartition("grp").sortWithinPartitions("grp")
-        near = stored(sketched.select("grp", "id", "label", "side", "sketch").mapInArrow(frees(_sift), "grp string, id long, label long, side int"), "near")
+        sketched = rows.join(self.classes.select("id", "sketch", F.slice("keys", *self.bands).alias("keys")), "id").repartition("grp").sortWithinPartitions("grp")
+        near = stored(sketched.select("grp", "id", "label", "side", "sketch", "keys").mapInArrow(frees(_sift), "grp string, id long, label long, side int"), "near")
         sets = self.sets_of(near.select("id"))
         full = near.join(sets, "id").repartition("grp").sortWithinPartitions("grp")
         found = stored(full.select("grp", "id", "label", "side", "tokens").mapInArrow(frees(_link(self.percent)), "a long, b long"), "links")
@@ -212,9 +220,10 @@ class _Join:
         self.edges, self.labels = both, components(both)
 
     def round(self, first: int, last: int) -> None:
+        self.bands = first + 1, last - first
         p, none = self.percent, F.lit(None).cast("int")
         further = F.get("keys", F.lit(last % BANDS))  # of another band: alike sets mostly share it
-        rows = self.labelled(self.classes.select("id", "n", "keys")).select("id", "n", "label", further.alias("part"), F.explode(F.slice("keys", first + 1, last - first)).alias("key"))
+        rows = self.labelled(self.classes.select("id", "n", "keys")).select("id", "n", "label", further.alias("part"), F.explode(F.slice("keys", *self.bands)).alias("key"))
         shared = rows.groupBy("key").agg(F.count("*").alias("members"), F.sum("n").alias("tokens"), F.bit_xor(F.xxhash64("id")).alias("h"), F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("l0"), F.max("label").alias("l1"))
         shared = shared.where((F.col("members") > 1) & (F.col("l0") != F.col("l1")) & ((F.col("members") > 2) | _fits(F.col("low"), F.col("high"), p)))
         once = shared.groupBy("members", "tokens", "h", "low", "high").agg(F.min("key").alias("key"))  # the same members
