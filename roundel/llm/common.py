@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -47,12 +48,20 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def drop(*tables: DataFrame | None) -> None:
-    """Delete stored tables that nothing reads any more, through Spark's own file system layer."""
+    """Delete stored tables that nothing reads any more, through Spark's own file system layer.
+
+    The driver is asked to collect garbage too: Spark deletes the shuffle files of a plan when nobody
+    holds it any more, which it else notices late.
+    """
+    spark = None
     for table in tables:
         if path := getattr(table, "_roundel_path", None):
             spark = table.sparkSession
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if spark:
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def unused(columns: list[str], name: str) -> str:

@@ -34,7 +34,7 @@ from .signature_tree import Block
 SHINGLE, PERCENT = 5, 75
 BANDS, FIRST = 28, 4
 LEAST = 18  # of the 2 * BANDS minimum hashes that a link's sets have in common
-BLOCK, BLOCK_TOKENS = 2048, 4 << 20  # classes, and tokens of 8 bytes, that one tree holds; one larger set is a block of its own
+BLOCK, BLOCK_TOKENS = 4096, 4 << 20  # classes, and tokens of 8 bytes, that one tree holds; one larger set is a block of its own
 CHAIN = 4  # a bucket of more blocks is compared along a chain of them first
 CELLS = 1 << 20  # of the filter that is broadcast: 8 MB of longs at most, whatever the input
 STEP = 1 << 16
@@ -194,7 +194,7 @@ class _Join:
         return rows.join(known, "id", "left").withColumn("label", F.coalesce("known", "id")).drop("known")
 
     def sets_of(self, ids: DataFrame) -> DataFrame:
-        need = stored(ids.distinct().join(self.classes.select("id", "c", F.col("at").alias("where")), "id"), "wanted")
+        need = stored(self.classes.select("id", "c", F.col("at").alias("where")).join(ids, "id", "left_semi"), "wanted")
         cell = lambda x: F.pmod(F.xxhash64(x), F.lit(CELLS))
         cells = need.select(cell("where").alias("cell")).distinct()  # CELLS rows at most
         near = self.docs.join(F.broadcast(cells), cell(F.col("at")) == F.col("cell"), "left_semi")
