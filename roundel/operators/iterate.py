@@ -12,7 +12,9 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 from enum import Enum
 
+from py4j.protocol import Py4JJavaError
 from pyspark import StorageLevel
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +42,7 @@ class Context:
 
 @dataclass
 class Report:
-    """One round: how long it took, the splits that count, tries, and the shape of the reduction."""
+    """One round: how long it took, the splits that count, tries, and the nodes of each level that ran (auto: one aggregation, as Catalyst plans it)."""
 
     round: int
     seconds: float
@@ -50,9 +52,13 @@ class Report:
     records: dict[int, int]
 
 
+#: Folds by name, and what they are for two values in Python.
+FOLDS = {"sum": lambda a, b: a + b, "min": min, "max": max, "bit_or": lambda a, b: a | b, "bit_and": lambda a, b: a & b, "bit_xor": lambda a, b: a ^ b, "bool_and": lambda a, b: a and b, "bool_or": lambda a, b: a or b}
+
+
 class IterativeJob(ABC):
     keys: Sequence[str] = ()
-    #: How each value column of a partial result is folded: sum, min or max.
+    #: How each value column of a partial result is folded: a name in FOLDS. Jobs with a reduction of their own: frames.py.
     folds: dict[str, str] = {}
 
     @abstractmethod
@@ -72,22 +78,17 @@ class IterativeJob(ABC):
     def on_failed(self, completed: set[int], context: Context) -> RecoveryAction:
         return RecoveryAction.RERUN
 
-    def failed_splits(self, context: Context) -> set[int]:
-        """Splits whose results can't be used in this attempt."""
-        return set()
-
     def model_dict(self, model: object) -> dict:
         return dict(vars(model))
 
     def fold(self, rows: list[Row]) -> list[Row]:
         """Partial results with equal keys as one."""
-        how = {"sum": lambda a, b: a + b, "min": min, "max": max}
         out: dict[tuple, dict] = {}
         for row in rows:
             d = row.asDict()
             have = out.setdefault(tuple(d[k] for k in self.keys), {})
             for c, f in self.folds.items():
-                have[c] = d[c] if c not in have else how[f](have[c], d[c])
+                have[c] = d[c] if have.get(c) is None else have[c] if d[c] is None else FOLDS[f](have[c], d[c])
         return [Row(**dict(zip(self.keys, k, strict=True)), **v) for k, v in out.items()]
 
     integrate = fold
@@ -109,8 +110,13 @@ def reduce_generic(partials: DataFrame, keys: Sequence[str], folds: dict[str, st
     return fold_by(fold_by(partials.withColumn(split, F.floor(F.col(split) * count / max(leaves, 1))), [split, *keys], folds), keys, folds)
 
 
-def run(spark: SparkSession, job: IterativeJob, model: object, options: Options | None = None) -> tuple[object, list[Report]]:
-    """At least one round, until the job or max_rounds says stop. Returns the model and a report a round."""
+def run(spark: SparkSession, job: IterativeJob, model: object, options: Options | None = None, max_attempts: int = 4) -> tuple[object, list[Report]]:
+    """At least one round, until the job or max_rounds says stop. Returns the model and a report a round.
+
+    When a round's Spark job fails, its splits are run in halves until those that fail are alone; the
+    results of the others are kept, and the job's on_failed says how to go on. A round that fails
+    max_attempts times raises what made it fail.
+    """
     options = options or Options()
     rows = job.parse(spark, options)
     if "split" not in rows.columns:
@@ -119,41 +125,63 @@ def run(spark: SparkSession, job: IterativeJob, model: object, options: Options
         rows = rows.persist(StorageLevel.MEMORY_AND_DISK if options.cache == "memory" else StorageLevel.DISK_ONLY)
     counts = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
     context = Context(splits=len(counts), options=options)
-    reports = []
+    reports, kind = [], choose(options.aggregation, len(counts))
+    if options.aggregation == "auto" or kind == "none":
+        levels = [1]
+    else:
+        levels = [options.agg_count, 1] if kind == "generic" else nary_levels(max(1, len(counts)), options.fan_in)
     try:
         if options.model_dir:
             save_model(spark, job.model_dict(model), options.model_dir, options.model_name, 0)
         while True:
             began = time.time()
-            if context.model_age != context.round:
-                raise RuntimeError("the model is older than its round")
-            results, done = _round(job, rows, set(counts), model, context)
+            results, done = _round(job, rows, set(counts), model, context, max_attempts)
             model = job.update(results, model, context)
-            kind = choose(options.aggregation, len(counts))
-            reports.append(Report(context.round, time.time() - began, context.attempt + 1, sorted(done), nary_levels(max(1, len(counts)), options.fan_in) if kind == "nary" else [1], {s: counts[s] for s in done}))
+            reports.append(Report(context.round, time.time() - began, context.attempt + 1, sorted(done), levels, {s: counts[s] for s in done}))
             context.round, context.model_age, context.attempt = context.round + 1, context.model_age + 1, 0
             if options.model_dir:
-                save_model(spark, job.model_dict(model), options.model_dir, options.model_name, context.round)
+                save_model(spark, job.model_dict(model), options.model_dir, options.model_name, context.round, context.round >= options.compress_after)
             if job.should_terminate(model, context) or options.max_rounds and context.round >= options.max_rounds:
                 return model, reports
     finally:
         rows.unpersist()
 
 
-def _round(job: IterativeJob, rows: DataFrame, splits: set[int], model: object, context: Context) -> tuple[list[Row], set[int]]:
-    failed = job.failed_splits(context) & splits
-    done = splits - failed
-    results = _reduced(job, rows.where(F.col("split").isin(*done)) if failed else rows, model, context) if done or not splits else []
-    if not failed:
-        return results, done
-    action = job.on_failed(done, context)
-    if action is RecoveryAction.ACCEPT:
-        return results, done
-    context.attempt += 1
-    if action is RecoveryAction.RERUN:
-        return _round(job, rows, splits, model, context)
-    more, also = _round(job, rows.where(F.col("split").isin(*failed)), failed, model, context)
-    return job.integrate([*results, *more]), done | also
+def _tried(job: IterativeJob, rows: DataFrame, splits: set[int], everything: bool, model: object, context: Context) -> tuple[list[list[Row]], set[int], Exception | None]:
+    """Results of the splits that can be computed, those splits, and why others can't."""
+    try:
+        return [_reduced(job, rows if everything else rows.where(F.col("split").isin(*splits)), model, context)], splits, None
+    except AnalysisException:
+        raise
+    except (PySparkException, Py4JJavaError) as e:
+        if len(splits) < 2:
+            return [], set(), e
+        order, results, done, why = sorted(splits), [], set(), e
+        for half in (order[: len(order) // 2], order[len(order) // 2 :]):
+            more, also, cause = _tried(job, rows, set(half), False, model, context)
+            results, done, why = results + more, done | also, cause or why
+        return results, done, why
+
+
+def _round(job: IterativeJob, rows: DataFrame, splits: set[int], model: object, context: Context, max_attempts: int) -> tuple[list[Row], set[int]]:
+    kept, done, todo = [], set(), splits
+    while True:
+        results, also, why = _tried(job, rows, todo, todo == splits, model, context)
+        results, done_now = [r for part in results for r in part], done | also
+        if len(also) == len(todo):
+            break
+        action = job.on_failed(done_now, context)
+        if action is RecoveryAction.ACCEPT:
+            break
+        context.attempt += 1
+        if context.attempt >= max_attempts:
+            raise why
+        if action is RecoveryAction.RERUN:
+            kept, done, todo = [], set(), splits
+        else:
+            kept, done, todo = kept + results, done_now, splits - done_now
+    merged = [*kept, *results]
+    return (job.integrate(merged) if kept or why else merged), done_now
 
 
 def _reduced(job: IterativeJob, rows: DataFrame, model: object, context: Context) -> list[Row]:
@@ -171,10 +199,9 @@ def _reduced(job: IterativeJob, rows: DataFrame, model: object, context: Context
 
 
 def format_report(reports: Sequence[Report]) -> str:
-    """A text table of the rounds; splits that were counted twice are named."""
+    """A text table of the rounds, with the levels that ran from the root down."""
     out = []
     for r in reports:
-        twice = sorted({s for s in r.splits if r.splits.count(s) > 1})
-        out.append(f"round {r.round}: {r.seconds:.2f} s, {len(r.splits)} splits, {sum(r.records.values())} records, {r.attempts} attempts" + (f", twice: {twice}" if twice else ""))
+        out.append(f"round {r.round}: {r.seconds:.2f} s, {len(r.splits)} splits, {sum(r.records.values())} records, {r.attempts} attempts")
         out += ["  " * k + f"level {k}: {n} nodes" for k, n in enumerate(reversed(r.levels))]
     return "\n".join(out)

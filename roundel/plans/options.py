@@ -22,7 +22,12 @@ class Options:
     max_rounds: int | None = None
     model_dir: str | None = None
     model_name: str = "model"
-    compress_after: int = 10
+    compress_after: int = 10  # from this round on, frames and saved models are compressed
+    debug: bool = False  # run in this process, with so many cores
+    debug_nodes: int = 2
+    disable_logging: bool = False
+    master: str | None = None  # where host and ports lead to
+    conf: Mapping[str, str] = field(default_factory=dict)  # Spark's own settings, spark.hadoop.* among them
     native: Mapping[str, object] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
@@ -32,9 +37,13 @@ class Options:
             raise ValueError("aggregation is none, generic, nary or auto")
         if self.aggregation == "generic" and self.agg_count < 1:
             raise ValueError("generic aggregation needs agg_count")
+        if self.num_splits < 1 or self.min_split_size < 0 or self.max_split_size is not None and self.max_split_size < max(1, self.min_split_size):
+            raise ValueError("num_splits is 1 or more, and max_split_size not below min_split_size")
         if self.fan_in < 2:
             raise ValueError("fan_in must be at least 2")
         if unknown := set(self.native) - set(NATIVE):
             raise ValueError(f"unknown options: {sorted(unknown)}")
+        if self.native.get("dynamic") and self.aggregation in ("none", "generic"):
+            raise ValueError("dynamic needs n-ary aggregation")
         if self.native.get("dynamic_map") and not (self.native.get("dynamic") and self.aggregation in ("nary", "auto")):
             raise ValueError("dynamic_map needs dynamic and n-ary aggregation")

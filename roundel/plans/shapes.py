@@ -44,3 +44,11 @@ def choose(kind: str, partitions: int) -> str:
     if kind not in ("auto", "none", "generic", "nary"):
         raise ValueError(f"unknown aggregation {kind!r}")
     return ("none" if partitions < 3 else "nary") if kind == "auto" else kind
+
+
+def heap_depths(nodes: int, arity: int) -> list[int]:
+    """How far each node of a heap is below its root."""
+    out: list[int] = []
+    for parent in heap_parents(nodes, arity):
+        out.append(0 if parent < 0 else out[parent] + 1)
+    return out
