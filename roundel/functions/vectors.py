@@ -28,22 +28,11 @@ def sparse(text: Column, labelled: bool = True, pair: str = "[:=]", between: str
 
 
 def point(text: Column) -> Column:
-    """`x y` as struct(x, y)."""
-    fields = F.split(F.trim(text), "\\s+")
+    """`x y`, with spaces, tabs or bars between, as struct(x, y)."""
+    fields = F.split(F.trim(text), "[ |\\t]+")
     return F.struct(F.get(fields, F.lit(0)).try_cast("double").alias("x"), F.get(fields, F.lit(1)).try_cast("double").alias("y"))
 
 
-def dot(values: Column, weights: Sequence[float]) -> Column:
-    """Product of an array column with fixed weights, in the order of the array."""
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.aggregate(F.zip_with(values, w, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda acc, x: acc + x)
-
-
-def sparse_dot(ids: Column, vals: Column, weights: Sequence[float]) -> Column:
-    w = F.array(*[F.lit(float(x)) for x in weights])
-    return F.aggregate(F.zip_with(ids, vals, lambda i, v: v.cast("double") * F.get(w, i)), F.lit(0.0), lambda acc, x: acc + x)
-
-
 def nearest(distances: Sequence[Column]) -> Column:
     """Number of the strictly smallest distance; of equal ones the first."""
     out, best = F.lit(0), distances[0]
@@ -54,3 +43,17 @@ def nearest(distances: Sequence[Column]) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
+
+
+def scaled_tanh(x: Column) -> Column:
+    return 1.7159 * F.tanh(x * (2 / 3))
+
+
+def scaled_tanh_slope(y: Column) -> Column:
+    """Derivative of scaled_tanh, from its value."""
+    return (2 / 3 / 1.7159) * (1.7159 - y) * (1.7159 + y)
+
+
+def hex_dump(data: Column) -> Column:
+    """Bytes as pairs of hexadecimal digits with spaces between."""
+    return F.trim(F.regexp_replace(F.hex(data), "(..)", "$1 "))

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.vectors import nearest
+from ..functions.vectors import nearest, point
 from ..plans.options import Options
+from ..sources.scans import from_histogram, from_options
+from ..sources.sinks import checkpointed
 from .iterate import Context, IterativeJob, run
 
 
@@ -28,18 +31,22 @@ class KMeansJob(IterativeJob):
     A point goes to the strictly nearest centroid, of equal ones to the first. distance_sum adds
     Euclidean distances to the centroids before the update. A cluster without points becomes the
     origin (empty="zero") or stays (empty="keep"). one_move: centroids are updated in order up to the
-    first that moves. Rows with a null coordinate are left out.
+    first that moves. Rows with a null coordinate are left out. Without points, lines `x y` are read
+    from the paths of the options.
     """
 
     keys = ("cid",)
 
-    def __init__(self, points: DataFrame, columns: Sequence[str], max_rounds: int = 20, empty: str = "zero", one_move: bool = False, tolerance: float = 1e-10):
+    def __init__(self, points: DataFrame | None = None, columns: Sequence[str] = ("x", "y"), max_rounds: int = 20, empty: str = "zero", one_move: bool = False, tolerance: float = 1e-10):
         self.points, self.columns, self.max_rounds, self.empty, self.one_move, self.tolerance = points, list(columns), max_rounds, empty, one_move, tolerance
         self.folds = {"n": "sum", "distance": "sum", **{f"s{i}": "sum" for i in range(len(self.columns))}}
 
     def parse(self, spark: SparkSession, options: Options) -> DataFrame:
+        points = self.points
+        if points is None:
+            points = from_options(spark, options).select("split", point(F.col("value")).alias("p")).select("split", "p.*")
         keep = [F.col(c).cast("double").alias(f"s{i}") for i, c in enumerate(self.columns)]
-        return self.points.select(*keep, *(["split"] if "split" in self.points.columns else [])).dropna(subset=[f"s{i}" for i in range(len(keep))])
+        return points.select(*keep, *(["split"] if "split" in points.columns else [])).dropna(subset=[f"s{i}" for i in range(len(keep))])
 
     def map(self, rows: DataFrame, model: KMeansModel, context: Context) -> DataFrame:
         distances = [self._distance(c) for c in model.centroids]
@@ -71,9 +78,11 @@ class KMeansJob(IterativeJob):
 
 
 def seeds(points: DataFrame, columns: Sequence[str], id_col: str, k: int, seed: int) -> list[tuple[float, ...]]:
-    """k points, each row as likely as any other: those with the smallest hash of id and seed. k rows of each task move."""
+    """k points, each row as likely as any other: a reservoir of the k rows with the smallest hash of id and seed in each task, merged in the end. Fewer than k points are an error."""
     order = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))).cast("binary"))
     rows = points.dropna(subset=list(columns)).select(order.alias("o"), *[F.col(c).cast("double").alias(c) for c in columns]).orderBy("o", *columns).limit(k).collect()
+    if len(rows) < k:
+        raise ValueError(f"{k} seeds asked for, {len(rows)} points there")
     return [tuple(r[c] for c in columns) for r in rows]
 
 
@@ -87,19 +96,54 @@ def best_of(spark: SparkSession, points: DataFrame, columns: Sequence[str], id_c
     return t, model
 
 
-def sparse_round(points: DataFrame, model: DataFrame) -> DataFrame:
-    """One round over exploded rows: points (id, dim, val), model (cid, dim, val) -> (cid, dim, val, n, distance).
+@dataclass
+class SparseModel:
+    """centroids: rows (cid, dim, val); a cluster without rows is the origin."""
+
+    centroids: DataFrame
+    k: int
+    distance_sum: float = 0.0
+    total_examples: int = 0  # over all rounds
+
+
+def sparse_assign(points: DataFrame, centroids: DataFrame, k: int) -> DataFrame:
+    """(id, cid, distance) of the nearest of k clusters for points (id, dim, val), of equal ones the first.
+
+    |c - x|^2 = |c|^2 + |x|^2 - 2 c.x: points meet centroids only in the dimensions that both have, so
+    nothing depends on how many dimensions there are. The k norms stand in the plan.
+    """
+    norm = dict.fromkeys(range(k), 0.0) | {r["cid"]: r["norm"] for r in centroids.groupBy("cid").agg(F.sum(F.col("val") * F.col("val")).alias("norm")).collect()}
+    model = centroids.select("cid", "dim", F.col("val").alias("c"))
+    shared = points.join(model, "dim", "left").groupBy("id", "cid").agg(F.sum(F.col("c") * F.col("val")).alias("dot"))
+    square = points.groupBy("id").agg(F.sum(F.col("val") * F.col("val")).alias("square"))
+    dots = shared.groupBy("id").agg(F.map_from_entries(F.collect_list(F.when(F.col("cid").isNotNull(), F.struct("cid", "dot")))).alias("dots"))
+    each = [F.struct((F.lit(float(norm[c])) - 2 * F.coalesce(F.col("dots")[F.lit(c)], F.lit(0.0))).alias("d"), F.lit(c).alias("cid")) for c in range(k)]
+    best = dots.select("id", F.array_min(F.array(*each)).alias("b"))
+    return best.join(square, "id").select("id", F.col("b.cid").alias("cid"), F.sqrt(F.greatest(F.col("b.d") + F.col("square"), F.lit(0.0))).alias("distance"))
+
+
+def sparse_kmeans(points: DataFrame, model: SparseModel, rounds: int) -> SparseModel:
+    """So many rounds over points (id, dim, val); rounds don't stop early. A cluster without points becomes the origin.
 
-    The squared distance is |c|^2 + sum((c - x)^2 - c^2) over the point's own dimensions. Joins are on
-    the dimension; nothing depends on how many dimensions there are.
+    The model stays a table; each round's is checkpointed. points are cached.
     """
-    norms = model.groupBy("cid").agg(F.sum(F.col("val") * F.col("val")).alias("norm"))
-    cids = model.select("cid").distinct()
-    all_c = points.select("id", "dim", F.col("val").alias("x")).join(F.broadcast(cids))  # a row for each of k clusters
-    near = all_c.join(model, ["cid", "dim"], "left").withColumn("c", F.coalesce("val", F.lit(0.0)))
-    part = near.groupBy("id", "cid").agg(F.sum((F.col("c") - F.col("x")) * (F.col("c") - F.col("x")) - F.col("c") * F.col("c")).alias("d"))
-    full = part.join(norms, "cid").select("id", "cid", F.greatest(F.col("d") + F.col("norm"), F.lit(0.0)).alias("d"))
-    best = full.groupBy("id").agg(F.min(F.struct("d", "cid")).alias("b")).select("id", F.col("b.cid").alias("cid"), F.sqrt("b.d").alias("distance"))
-    sizes = best.groupBy("cid").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"))
-    sums = points.join(best.select("id", "cid"), "id").groupBy("cid", "dim").agg(F.sum("val").alias("total"))
-    return sums.join(sizes, "cid").select("cid", "dim", (F.col("total") / F.col("n")).alias("val"), "n", "distance")
+    points = points.select("id", "dim", F.col("val").cast("double").alias("val")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for _ in range(rounds):
+            best = checkpointed(sparse_assign(points, model.centroids, model.k))
+            sizes = best.groupBy("cid").agg(F.count("*").alias("n"), F.sum("distance").alias("distance"))
+            sums = points.join(best.select("id", "cid"), "id").groupBy("cid", "dim").agg(F.sum("val").alias("total"))
+            moved = checkpointed(sums.join(sizes, "cid").select("cid", "dim", (F.col("total") / F.col("n")).alias("val")))
+            whole = sizes.agg(F.sum("n").alias("n"), F.sum("distance").alias("distance")).first()
+            model = SparseModel(moved, model.k, whole["distance"] or 0.0, model.total_examples + (whole["n"] or 0))
+        return model
+    finally:
+        points.unpersist()
+
+
+def sparse_start(spark: SparkSession, k: int, dims: int, values: Sequence[tuple[int, float]] | None = None, low: float = 0.0, high: float = 1.0, seed: int = 1000) -> SparseModel:
+    """k centroids with all dimensions, drawn from a histogram of values or evenly from low to high; the same for the same seed."""
+    rows = spark.range(k * dims).select((F.col("id") % k).cast("int").alias("cid"), F.floor(F.col("id") / k).cast("int").alias("dim"))
+    draw = F.pmod(F.xxhash64("cid", "dim", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    value = from_histogram(draw, values).cast("double") if values else low + draw * (high - low)
+    return SparseModel(rows.withColumn("val", value), k)
