@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frees, read, slices, text_buffer
@@ -214,14 +214,20 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & (F.length("text") > 0) & ~held_out("doc_id"))
     rows = rows.select(F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("size"), "lang", "text")
-    common = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit_langs)
-    names = sorted(r.lang for r in common.collect())
+    common = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(limit_langs).collect()}
+    names = sorted(common)
     if not names:
         return train([], [])
     each = max(1, limit // len(names))
-    ranked = rows.where(F.col("lang").isin(names)).select("lang", "h", "size", F.row_number().over(Window.partitionBy("lang").orderBy("h")).alias("rank"))
+    # hashes are spread evenly, so about four times the rows that are wanted lie below this one
+    upto = F.create_map(*[F.lit(x) for name in names for x in (name, min((1 << 63) - 1, (each << 66) // common[name] - (1 << 63)))])
+    near = rows.where(F.col("h") <= upto[F.col("lang")]).select("lang", "h", "size").distinct()
+    order: dict[str, list] = {name: [] for name in names}
+    for r in sorted(near.collect()):
+        if len(order[r.lang]) < each:
+            order[r.lang].append(r)
     left, chosen = dict.fromkeys(names, limit_bytes // len(names)), set()
-    for r in ranked.where(F.col("rank") <= each).orderBy("lang", "rank").collect():  # `each` rows of a task and language move
+    for r in (r for name in names for r in order[name]):
         if r.size <= left[r.lang] and (r.lang, r.h) not in chosen:
             left[r.lang] -= r.size
             chosen.add((r.lang, r.h))

@@ -214,11 +214,10 @@ def test_a_hot_bucket_of_different_texts_and_long_texts(spark):
     passage = [f"p{i}" for i in range(30)]
     texts = []
     for k in range(36):
-        own = [f"o{r.randrange(10**6)}" for _ in range(r.choice([0, 1, 2, 4, 8, 400]))]
+        own = [f"o{r.randrange(10**6)}" for _ in range(r.choice([0, 1, 2, 4, 8, 700]))]
         texts.append(" ".join(passage[: r.randint(26, 30)] + own))
-    for tokens in (1 << 22, 120):
-        out = ngram_join.ngram_components(docs(spark, texts), block=8, block_tokens=tokens)
-        assert sorted(tuple(x) for x in out.collect()) == components_by_hand(texts)
+    out = ngram_join.ngram_components(docs(spark, texts), block=8, block_tokens=600)  # the longest sets are larger than that
+    assert sorted(tuple(x) for x in out.collect()) == components_by_hand(texts)
 
 
 def test_tree_finds_what_all_pairs_find():
@@ -362,7 +361,7 @@ def test_scores_equal_plain_pagerank(spark):
     assert {x.verdict for x in out if not x.rule} == {"allow", "block"}
 
 
-@pytest.mark.parametrize("n", [20, 20_000])
+@pytest.mark.parametrize("n", [20, 2_000])
 def test_a_verdict_does_not_depend_on_the_size_of_the_table(spark, n):
     feeds = spark.range(n).selectExpr("id AS page_id", "concat('http://feed', id, '.org/') AS url", "concat('<a href=http://bad', id, '.net/es/>') AS html")
     bad = spark.range(n).selectExpr("id + 1000000 AS page_id", "concat('http://bad', id, '.net/es/') AS url", "'' AS html")
