@@ -25,6 +25,7 @@ from roundel.llm import decontamination, language_id, ngram_join, piece_codec, s
 from roundel.llm.common import drop, read, row_hash, stored, unused
 
 MIN_SCORE = 0.4
+BROADCAST_ROWS = 1 << 20  # of an id and a hash each
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +43,17 @@ def _same(docs: DataFrame, name: str, marks: DataFrame) -> Column:
     return (docs[name] == marks["_hash"]) & docs["doc_id"].cast("long").eqNullSafe(marks["_doc"])
 
 
+def _small(marks: DataFrame) -> DataFrame:
+    """marks for a join, broadcast where they are few; else the documents are shuffled to them."""
+    return F.broadcast(marks) if marks.count() <= BROADCAST_ROWS else marks
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     groups = ngram_join.ngram_components(docs, more=True).where("n_shingles > 0")
     rows = groups.groupBy(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
     marks = stored(rows.where("NOT kept OR n > 1"), "duplicates")
     hashed, name = _hashed(docs)
-    out = hashed.join(marks, _same(hashed, name, marks), "left_anti")
+    out = hashed.join(_small(marks), _same(hashed, name, marks), "left_anti")
     repeated = marks.where("kept")
     if not repeated.isEmpty():  # equal rows: one of them
         out = out.unionByName(hashed.join(repeated, _same(hashed, name, repeated), "left_semi").dropDuplicates(["doc_id", name]))
@@ -58,7 +64,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     found = decontamination.leaks(docs, read(spark, sf_dir, "benchmark"))
     marks = stored(found.select(F.col("doc_id").alias("_doc"), F.col("row_hash").alias("_hash")).distinct(), "leaks")
     hashed, name = _hashed(docs)
-    return hashed.join(marks, _same(hashed, name, marks), "left_anti").drop(name)
+    return hashed.join(_small(marks), _same(hashed, name, marks), "left_anti").drop(name)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
